@@ -51,3 +51,16 @@ def fresh(name: str, *frames: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, moved to all cores by a hash of ``key`` if its scan leaves most of them idle.
+
+    A file with one row group is one task however large the cluster. Only the key column is read to see that; tables of
+    many row groups are evenly spread as they are and aren't shuffled.
+    """
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    sizes = [r[0] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).select("n").collect()]
+    if sizes and max(sizes) > 2 * sum(sizes) / cores and sum(sizes) >= 16 * cores:
+        return df.repartition(2 * cores, F.xxhash64(F.col(f"`{key}`")))
+    return df
