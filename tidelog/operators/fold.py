@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions import timeuuid as tu
+from tidelog.operators.ordered import range_pairs
 from tidelog.operators.stabbing import cover_max
 
 NEVER = 2**63 - 1
@@ -86,14 +88,8 @@ def paired_ranges(changes: DataFrame, stream: Sequence[str], order: str) -> Data
     A later start replaces an earlier one, a start without an end and an end without a start give nothing. One batch of
     writes is one group, which the database keeps small; copies must have been removed.
     """
-    w = Window.partitionBy(*stream).orderBy(order)
-    packed = F.struct("op", "pk", "c1", "c2")
-    before = F.lag(packed).over(w)
-    return (
-        changes.where(F.col("op").isin(5, 6, 7, 8) & F.col("us").isNotNull() & F.col("pk").isNotNull())
-        .select(*stream, order, "op", "pk", "c1", "c2", "us", before.alias("start"))
-        .where(F.col("op").isin(7, 8) & F.col("start.op").isin(5, 6) & (F.col("start.pk") == F.col("pk")))
-    )
+    rows = changes.where(F.col("us").isNotNull() & F.col("pk").isNotNull()).select(*stream, order, "op", "pk", "c1", "c2", "us")
+    return range_pairs(rows, stream, [order], ["pk", "c1", "c2"]).where(F.col("start.pk") == F.col("pk"))
 
 
 def range_bounds(pairs: DataFrame) -> DataFrame:
@@ -153,8 +149,6 @@ def live_rows(states: DataFrame, columns: Sequence[str], now_us: int) -> DataFra
 
 def decoded(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A log as the fold takes it: op, us, expire_us, change_time, stream_id, seq, and ``columns`` with their flags."""
-    from tidelog.functions import timeuuid as tu
-
     flags = [f"cdc$deleted_{c}" for c in columns if f"cdc$deleted_{c}" in log.columns]
     return log.select(
         F.col("cdc$operation").cast("int").alias("op"),
