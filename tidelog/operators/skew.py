@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_SHARE = 0.001
-BINS = 1024
+#: Bins of one pass over all hot keys and quantiles; fewer keys get finer ones and need fewer passes.
+MOST_BINS = 4_000_000
 
 
 def key_counts(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
@@ -53,32 +54,25 @@ def _ranks(state: list[dict], quantiles: Sequence[float]) -> list[dict]:
     return out
 
 
-def _refine(df: DataFrame, key: str, value: str, live: list[dict], bins: int) -> list[dict]:
+def _refine(df: DataFrame, key: str, value: str, live: list[dict], bins: int | None) -> list[dict]:
     """One pass: narrow each live interval to the bin that holds its rank."""
     spark = df.sparkSession
+    bins = bins or max(256, min(65_536, MOST_BINS // len(live)))
     for x in live:
         x["width"] = max(1, -(-(x["hi"] - x["lo"] + 1) // bins))
-    kind = df.schema[key].dataType
-    schema = T.StructType(
-        [T.StructField("hot_key", kind)]
-        + [T.StructField(n, T.LongType()) for n in ("q", "lo", "hi", "width")]
-    )
-    state = spark.createDataFrame([(x["key"], x["q"], x["lo"], x["hi"], x["width"]) for x in live], schema)
+    names = ("q", "rank", "lo", "hi", "width")
+    schema = T.StructType([T.StructField("hot_key", df.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in names]])
+    state = spark.createDataFrame([(x["key"], *[x[n] for n in names]) for x in live], schema)
     inside = df[key].eqNullSafe(state["hot_key"]) & df[value].between(F.col("lo"), F.col("hi"))
     histogram = (
         df.join(F.broadcast(state), inside)
-        .groupBy("hot_key", "q", F.expr(f"(`{value}` - lo) div width").alias("bin"))
+        .groupBy("hot_key", "q", "rank", F.expr(f"(`{value}` - lo) div width").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Select, per hot key and quantile, the bin where the running count reaches the rank: at most BINS rows each.
-    ranks = spark.createDataFrame(
-        [(x["key"], x["q"], x["rank"]) for x in live],
-        T.StructType([T.StructField("k", kind), T.StructField("i", T.LongType()), T.StructField("rank", T.LongType())]),
-    )
+    # Select, per hot key and quantile, the bin where the running count reaches the rank.
     running = F.sum("n").over(Window.partitionBy("hot_key", "q").orderBy("bin"))
     hit = (
         histogram.withColumn("upto", running)
-        .join(F.broadcast(ranks), F.col("hot_key").eqNullSafe(F.col("k")) & (F.col("q") == F.col("i")))
         .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
         .select("hot_key", "q", "bin", (F.col("upto") - F.col("n")).alias("below"))
     )
@@ -101,11 +95,11 @@ def per_key(
     value: str,
     quantiles: Sequence[float] = (0.5, 0.9),
     hot_share: float = HOT_SHARE,
-    bins: int = BINS,
+    bins: int | None = None,
 ) -> DataFrame:
     """(key, n_rows, least, greatest, q0, q1, ...) of each key: complete, exact, and balanced.
 
-    ``value`` is a long column. ``q<i>`` is the exact quantile ``quantiles[i]``.
+    ``value`` is a long column. ``q<i>`` is the exact quantile ``quantiles[i]``. ``bins`` fixes the bins of a pass.
     """
     df = df.select(key, value)
     counts = key_counts(df, key, value)
