@@ -55,9 +55,9 @@ def test_unprocessed(spark):
     assert incremental.unprocessed(df, ["id"], "batch", runs.limit(0)).count() == 6
 
 
-@pytest.mark.parametrize("bins", [2, 7, 1024])
+@pytest.mark.parametrize("bins", [64, 5000, None])
 def test_quantiles_are_exact(spark, bins):
-    r = np.random.default_rng(bins)
+    r = np.random.default_rng(bins or 1)
     rows = [("hot", int(x)) for x in r.integers(-(10**15), 10**15, 700)] + [("ties", 5)] * 200 + [(f"k{i % 40}", int(i)) for i in range(200)]
     rows += [(None, 1), (None, None), ("no value", None), ("min", -(2**40)), ("min", 2**40)]
     df = spark.createDataFrame(rows, "k string, v long").repartition(5)
