@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import collection as c
 from tidelog.model import Mode, TableSpec
-from tidelog.operators import decode, generations, ordered, preimage, vnodes
+from tidelog.operators import decode, elements, generations, ordered, preimage, vnodes
 
 
 def test_modes():
@@ -91,15 +91,16 @@ def machine(ops):
     return pairs, orphans, post
 
 
-def test_pairing_is_the_state_machine(spark):
+@pytest.mark.parametrize("slice_us", [None, 1, 7, 10**9])
+def test_pairing_is_the_state_machine(spark, slice_us):
     r = random.Random(1)
     rows = [(s, i // 3, i, r.randrange(1, 11)) for i in range(600) for s in [r.randrange(5)]]
     df = spark.createDataFrame(r.sample(rows, len(rows)), "stream int, us long, seq long, op int")
     want = [machine([(q, o) for s, _, q, o in rows if s == k]) for k in range(5)]
     key = (["stream"], ["us", "seq"])
-    assert {(x.start.seq, x.seq) for x in ordered.range_pairs(df, *key, ["seq"]).collect()} == {p for w in want for p in w[0]}
-    assert {x.seq for x in ordered.range_orphans(df, *key).collect()} == {p for w in want for p in w[1]}
-    assert {(x.cause.seq, x.seq, x.applied_op) for x in ordered.postimages(df, *key, ["seq"]).collect()} == {p for w in want for p in w[2]}
+    assert {(x.start.seq, x.seq) for x in ordered.range_pairs(df, *key, ["seq"], slice_us).collect()} == {p for w in want for p in w[0]}
+    assert {x.seq for x in ordered.range_orphans(df, *key, slice_us).collect()} == {p for w in want for p in w[1]}
+    assert {(x.cause.seq, x.seq, x.applied_op) for x in ordered.postimages(df, *key, ["seq"], slice_us).collect()} == {p for w in want for p in w[2]}
 
 
 def test_preimages(spark):
@@ -127,5 +128,5 @@ def test_collection_replay(spark):
     rows = [(1, 1, [1, 2], None, None), (1, 2, [3], [1, 3], None), (1, 2, None, [2], False), (2, 1, [1], None, None), (2, 5, [9], None, True), (2, 4, [8], None, None), (3, None, [1], None, None), (4, 1, None, None, True)]
     rows = rows * 2
     random.Random(0).shuffle(rows)
-    live = c.current_elements(spark.createDataFrame(rows, schema), ["pk"], "s", "set").collect()
+    live = elements.current_elements(spark.createDataFrame(rows, schema), ["pk"], "s", "set").collect()
     assert sorted((x.pk, x.elem) for x in live) == [(1, 3), (2, 9)]

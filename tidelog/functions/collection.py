@@ -1,26 +1,19 @@
-"""Changes to unfrozen collections, as expressions and as cells.
-
-The expressions change one value in place. The cell form is for replay: every element is a cell of its own with its
-own write time, so elements are folded by maximum like scalar columns, and an overwrite is a tombstone just before its
-elements. Removing and adding in one change both take effect, the addition last.
-"""
+"""Changes to unfrozen collections, as expressions on one value."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidelog.functions import timeuuid as tu
 
 
 def set_add(old: Column, new: Column) -> Column:
-    return F.array_sort(F.array_union(_list(old), _list(new)))
+    return F.array_sort(F.array_union(as_list(old), as_list(new)))
 
 
 def set_remove(old: Column, gone: Column) -> Column:
-    return F.array_sort(F.array_except(_list(old), _list(gone)))
+    return F.array_sort(F.array_except(as_list(old), as_list(gone)))
 
 
 def map_put(old: Column, new: Column) -> Column:
@@ -52,34 +45,5 @@ def overwrite(_old: Column, new: Column) -> Column:
     return new
 
 
-def _list(c: Column) -> Column:
+def as_list(c: Column) -> Column:
     return F.coalesce(c, F.array())
-
-
-def element_cells(changes: DataFrame, key: Sequence[str], column: str, kind: str) -> DataFrame:
-    """(key, elem, us, gone, value): the element cells that each change writes; kind is set, map or list.
-
-    ``changes`` has ``us``, ``column`` (array for a set, else map) and ``cdc$deleted_elements_<column>``.
-    """
-    added, removed = F.col(f"`{column}`"), F.col(f"`cdc$deleted_elements_{column}`")
-    entries = (
-        F.transform(added, lambda x: F.struct(x.alias("elem"), F.lit(0).alias("gone"), x.cast("string").alias("value")))
-        if kind == "set"
-        else F.transform(F.map_entries(added), lambda e: F.struct(e["key"].alias("elem"), F.lit(0).alias("gone"), e["value"].cast("string").alias("value")))
-    )
-    written = added if kind == "set" else F.map_keys(added)
-    kept = F.array_except(_list(removed), _list(written))
-    gone = F.transform(kept, lambda x: F.struct(x.alias("elem"), F.lit(1).alias("gone"), F.lit(None).cast("string").alias("value")))
-    cells = F.concat(F.coalesce(entries, F.array()), gone)
-    return changes.where("us is not null").select(*key, "us", F.explode(cells).alias("c")).select(*key, "us", "c.elem", "c.gone", "c.value")
-
-
-def current_elements(changes: DataFrame, key: Sequence[str], column: str, kind: str) -> DataFrame:
-    """(key, elem, value): the elements that live after all ``changes``, in any order and with repeats.
-
-    An overwrite (``cdc$deleted_<column>``) deletes every element written before it.
-    """
-    cells = element_cells(changes, key, column, kind).groupBy(*key, "elem").agg(F.max(F.struct("us", "gone", "value")).alias("w"))
-    cleared = changes.where(F.coalesce(F.col(f"`cdc$deleted_{column}`"), F.lit(False))).groupBy(*key).agg((F.max("us") - 1).alias("cleared_us"))
-    live = cells.join(cleared, list(key), "left").where((F.col("w.gone") == 0) & (F.col("cleared_us").isNull() | (F.col("w.us") > F.col("cleared_us"))))
-    return live.select(*key, "elem", F.col("w.value").alias("value"))

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import timeuuid as tu
 from tidelog.operators.ordered import range_pairs
+from tidelog.operators.skew import salted_left
 from tidelog.operators.stabbing import cover_max
 
 NEVER = 2**63 - 1
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
-SALTS = 16
 
 
 def _cell(name: str) -> Column:
@@ -76,10 +76,8 @@ def partition_tombstones(changes: DataFrame, pk: Sequence[str]) -> DataFrame:
 
 
 def with_partition_tombstones(rows: DataFrame, tombstones: DataFrame, pk: Sequence[str], ck: Sequence[str]) -> DataFrame:
-    """A left join in which a partition with very many rows is spread over ``SALTS`` tasks; its one tombstone is repeated."""
-    salted = rows.withColumn("join_salt", F.pmod(F.xxhash64(*ck), F.lit(SALTS)).cast("int"))
-    copies = tombstones.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*pk, "join_salt"], "left").drop("join_salt")
+    """The rows with the deletion of their partition; one with very many rows is spread over several tasks."""
+    return salted_left(rows, tombstones, pk, ck)
 
 
 def paired_ranges(changes: DataFrame, stream: Sequence[str], order: str) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.session import fresh
+
 HOT_SHARE = 0.001
 #: Bins of one pass over all hot keys and quantiles; fewer keys get finer ones and need fewer passes.
 MOST_BINS = 4_000_000
@@ -137,3 +139,12 @@ def per_key(
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min(value).alias("least"), F.max(value).alias("greatest"), *aggs)
     )
     return cold_result.unionByName(hot_result)
+
+
+def salted_left(rows: DataFrame, side: DataFrame, key: Sequence[str], spread_by: Sequence[str], salts: int = 16) -> DataFrame:
+    """``rows`` left-joined to ``side``, which has one row per ``key``: rows of one key are spread over ``salts`` tasks by
+    ``spread_by``, and the side's row is repeated. Null keys don't match."""
+    salt = fresh("join_salt", rows, side)
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    right = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*key, salt], "left").drop(salt)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import collection
 from tidelog.functions import timeuuid as tu
 from tidelog.model import MULTI_CK, SCALAR, Mode
-from tidelog.operators import decode, fold, generations, ordered, preimage, vnodes, windows
+from tidelog.operators import decode, elements, fold, generations, ordered, preimage, vnodes, windows
 from tidelog.operators.changes import key_columns
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.plans.tables import multi_log, scalar_log, table
@@ -175,12 +175,12 @@ def range_delete_pairs(spark, sf_dir):
 
 def range_orphans(spark, sf_dir):
     """Of the derived log, whose operations come in any order."""
-    rows = ordered.range_orphans(_derived(spark, sf_dir), ["pk"], ["ts_us", "seq"])
+    rows = ordered.range_orphans(_derived(spark, sf_dir), ["pk"], ["ts_us", "seq"], ordered.DAY_US)
     return rows.select("seq", "pk", "op")
 
 
 def range_pairs_across_time(spark, sf_dir):
-    rows = ordered.range_pairs(_derived(spark, sf_dir), ["pk"], ["ts_us", "seq"], ["seq", "ck"])
+    rows = ordered.range_pairs(_derived(spark, sf_dir), ["pk"], ["ts_us", "seq"], ["seq", "ck"], ordered.DAY_US)
     return rows.select(F.col("seq").alias("end_seq"), F.col("start.seq").alias("start_seq"), "pk", F.col("start.ck").alias("from_ck"), F.col("ck").alias("to_ck"))
 
 
@@ -213,11 +213,11 @@ def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postimage_pairs(spark, sf_dir):
     rows = decode.checked(_derived(spark, sf_dir).where("op <> 0"), Mode.POSTIMAGE)
-    return ordered.postimages(rows, ["pk"], ["ts_us", "seq"], ["seq"]).select("seq", F.col("cause.seq").alias("prev_seq"), "applied_op")
+    return ordered.postimages(rows, ["pk"], ["ts_us", "seq"], ["seq"], ordered.DAY_US).select("seq", F.col("cause.seq").alias("prev_seq"), "applied_op")
 
 
 def replay_postimage(spark, sf_dir):
-    rows = ordered.postimages(_derived(spark, sf_dir).where("op <> 0"), ["pk"], ["ts_us", "seq"])
+    rows = ordered.postimages(_derived(spark, sf_dir).where("op <> 0"), ["pk"], ["ts_us", "seq"], slice_us=ordered.DAY_US)
     best = rows.groupBy("pk", "ck").agg(F.max(F.struct("ts_us", "v")).alias("b"))
     return best.select("pk", "ck", "b.v", F.col("b.ts_us").alias("write_us"))
 
@@ -250,17 +250,17 @@ def _scalarised(live: DataFrame, pair: Column) -> DataFrame:
 
 
 def set_apply(spark, sf_dir):
-    live = collection.current_elements(_collection_log(spark, sf_dir, "set"), ["pk"], "c", "set")
+    live = elements.current_elements(_collection_log(spark, sf_dir, "set"), ["pk"], "c", "set")
     return _scalarised(live, F.col("elem").cast("string"))
 
 
 def map_apply(spark, sf_dir):
-    live = collection.current_elements(_collection_log(spark, sf_dir, "map"), ["pk"], "c", "map")
+    live = elements.current_elements(_collection_log(spark, sf_dir, "map"), ["pk"], "c", "map")
     return _scalarised(live, F.concat_ws("=", "elem", "value"))
 
 
 def list_apply(spark, sf_dir):
-    live = collection.current_elements(_collection_log(spark, sf_dir, "list"), ["pk"], "c", "list")
+    live = elements.current_elements(_collection_log(spark, sf_dir, "list"), ["pk"], "c", "list")
     cells = live.groupBy("pk").agg(F.map_from_entries(F.collect_list(F.struct("elem", "value"))).alias("cells"))
     return cells.select("pk", F.array_join(collection.list_values(F.col("cells")), ",").alias("elements"))
 
