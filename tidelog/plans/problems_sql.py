@@ -62,7 +62,7 @@ _LATE = f"""WITH c AS (SELECT {KEY}, {US} AS us, min({ARRIVED}) AS first_us FROM
 p AS (SELECT *, us // 3600000000 * 3600000000 AS period_us FROM c),
 f AS (SELECT *, CASE WHEN first_us < period_us + 3600000000 THEN 'on_time' WHEN first_us <= period_us + 25200000000 THEN 'correction' ELSE 'too_late' END AS fate FROM p)"""
 
-_GENERATIONS = f"""WITH g AS (SELECT epoch_us(time) AS generation_us, flatten(list(streams)) AS streams FROM cdc_streams_descriptions WHERE time IS NOT NULL GROUP BY time),
+GENERATIONS = f"""WITH g AS (SELECT epoch_us(time) AS generation_us, flatten(list(streams)) AS streams FROM cdc_streams_descriptions WHERE time IS NOT NULL GROUP BY time),
 m AS (SELECT DISTINCT generation_us, hex(unnest(streams)) AS stream_id FROM g),
 c AS (SELECT DISTINCT {KEY}, {US} AS us FROM scalar_scylla_cdc_log),
 a AS (SELECT c.*, g.generation_us FROM c ASOF LEFT JOIN (SELECT generation_us FROM g) g ON c.us >= g.generation_us),
@@ -87,8 +87,8 @@ SQL = {
         o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY us) AS i, count(*) OVER (PARTITION BY stream_id) AS n FROM r)
         SELECT stream_id, count(*) AS n_rows, min(us) AS first_us, max(us) AS last_us, max(CASE WHEN i = (n * 5 + 9) // 10 THEN us END) AS median_us,
         max(CASE WHEN i = (n * 9 + 9) // 10 THEN us END) AS p90_us FROM o GROUP BY stream_id""",
-    "p4_found": f"{_GENERATIONS} SELECT {_K} FROM r WHERE NOT listed",
-    "p4_generation_of_changes": f"{_GENERATIONS} SELECT * FROM r",
+    "p4_found": f"{GENERATIONS} SELECT {_K} FROM r WHERE NOT listed",
+    "p4_generation_of_changes": f"{GENERATIONS} SELECT * FROM r",
     "p5_found": f"""SELECT 'scalar' AS base_table, pk, ck AS c1, CAST(0 AS BIGINT) AS c2, v_time, s_time FROM ({_SCALAR})
         UNION ALL SELECT 'multi_ck', pk, c1, c2, v_time, '' FROM ({_MULTI})""",
     "p6_found": f"{_LATE} SELECT {_K} FROM f WHERE fate = 'correction'",

@@ -17,11 +17,14 @@ from tidelog.operators import decode, elements, fold, generations, ordered, prei
 from tidelog.operators.changes import key_columns
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.plans.tables import multi_log, scalar_log, table
+from tidelog.streaming.engine import CdcEngine
 
 #: 2026-01-20, 2026-01-21 and 2026-01-25 00:00 UTC in ms.
 FROM_MS, TO_MS, REPLAY_TO_MS = 1_768_867_200_000, 1_768_953_600_000, 1_769_299_200_000
 ORIGIN_MS = 1_767_225_600_000
 HOUR_MS = 3_600_000
+#: 2026-02-20: after all changes.
+CLOCK_MS = 1_771_545_600_000
 
 
 def _generations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,10 +273,17 @@ def printer_lines(spark, sf_dir):
     return decode.printed(scalar_log(spark, sf_dir), c)
 
 
+def stream_changes(spark, sf_dir):
+    """The scalar log as the stream source delivers it: per generation and task, from the epoch to the clock."""
+    names = {"path": "scalar_scylla_cdc_log", "generations": "cdc_streams_descriptions", "ring": "token_ring", "tokens": "cdc_stream_tokens"}
+    engine = CdcEngine(spark, **{k: f"{sf_dir}/{v}.parquet" for k, v in names.items()}, now_ms=CLOCK_MS)
+    return engine.read_once().select(*key_columns(), "pk", "ck", "delivery_batch")
+
+
 QUERIES = {f.__name__: f for f in (
     gen_starts, gen_list, gen_next, gen_end, gen_streams, stream_vnodes, vnode_tasks, window_scan, task_scan, window_counts,
     window_running_total, window_last_non_empty, window_fetch, time_functions, operation_counts, row_keys, base_rows, cell_states,
     ttl_values, replay_delta, ttl_live_rows, row_delete_apply, partition_delete_apply, range_delete_pairs, range_orphans,
     range_pairs_across_time, range_delete_apply, lww_cells, postimage_pairs, replay_postimage, preimage_check, set_apply, map_apply,
-    list_apply, printer_lines,
+    list_apply, printer_lines, stream_changes,
 )}

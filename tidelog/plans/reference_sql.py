@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidelog.plans.problems import P5_NOW_US
-from tidelog.plans.problems_sql import KEY, TICKS, US
+from tidelog.plans.problems_sql import GENERATIONS, KEY, TICKS, US
 from tidelog.plans.reference import FROM_MS, HOUR_MS, ORIGIN_MS, REPLAY_TO_MS, TO_MS
 
 _STARTS = "s AS (SELECT DISTINCT epoch_us(time) AS start_us FROM cdc_streams_descriptions WHERE time IS NOT NULL)"
@@ -114,6 +114,8 @@ SQL = {
     "set_apply": _elements("ck", "CAST(ck AS VARCHAR)", "CAST(elem AS VARCHAR), ',' ORDER BY CAST(elem AS VARCHAR)"),
     "map_apply": _elements("CAST(ck AS VARCHAR)", "CAST(seq AS VARCHAR)", "elem || '=' || value, ',' ORDER BY elem || '=' || value"),
     "list_apply": _elements("ck", "CAST(seq AS VARCHAR)", "value, ',' ORDER BY elem"),
+    "stream_changes": f"""{GENERATIONS} SELECT stream_id, change_time, batch_seq_no, pk, ck, delivery_batch FROM (SELECT {KEY}, pk, ck, delivery_batch FROM scalar_scylla_cdc_log) l
+        JOIN (SELECT stream_id, change_time, batch_seq_no FROM r WHERE listed) USING (stream_id, change_time, batch_seq_no)""",
     "printer_lines": f"""SELECT hex("cdc$stream_id") || ' -> Row[' || lower("cdc$time") || ', ' || {_TEXT.format('"cdc$batch_seq_no"')} || ', ' || {_TEXT.format('"cdc$operation"')}
         || ', ' || {_TEXT.format('"cdc$ttl"')} || ', ' || {_TEXT.format("pk")} || ', ' || {_TEXT.format("ck")} || ', ' || {_TEXT.format("s")} || ']' AS line FROM scalar_scylla_cdc_log""",
 }

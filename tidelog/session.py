@@ -20,18 +20,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that all executors share."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", "")
+        if not configured and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidelog-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a session without one (a local test)
     gets a temporary folder, which is never done on a cluster.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", "")
-        if not configured and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidelog-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -20,13 +20,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidelog.functions.timeuuid import EPOCH_TICKS
 
+DAY_MS = 86_400_000
+
+
+LAYOUT = ("log_day", "log_bucket")
+
+
+def _dataset(path: str) -> ds.Dataset:
+    """A Parquet log, plain or in the layout of ``layout.store``, whose folders are then pruned by day."""
+    return ds.dataset(path, partitioning="hive")
+
 
 class Piece(InputPartition):
     def __init__(self, generation_ms: int | None, lo_ms: int, hi_ms: int, streams: list[bytes] | None) -> None:
@@ -109,10 +118,15 @@ class LogReader(DataSourceStreamReader):
         return [[s for _, streams in groups[i::most] for s in streams] for i in range(most)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        data = ds.dataset(self.path)
+        data = _dataset(self.path)
         wanted = None if partition.streams is None else pc.field("cdc$stream_id").isin(pa.array(partition.streams, data.schema.field("cdc$stream_id").type))
         lo, hi = partition.lo_ms * 10_000 + 9_999, partition.hi_ms * 10_000 + 9_999
-        for b in data.scanner(filter=wanted).to_batches():
+        names = [c for c in data.schema.names if c not in LAYOUT]
+        if LAYOUT[0] in data.schema.names:
+            day = pc.field(LAYOUT[0])
+            inside = (day >= partition.lo_ms // DAY_MS) & (day <= partition.hi_ms // DAY_MS)
+            wanted = inside if wanted is None else inside & wanted
+        for b in data.scanner(columns=names, filter=wanted).to_batches():
             t = ticks_of(b["cdc$time"])
             hit = b.filter(pa.array((t > lo) & (t <= hi)))
             if hit.num_rows:
@@ -128,13 +142,14 @@ class CdcLog(DataSource):
         return "cdclog"
 
     def schema(self) -> StructType:
-        return from_arrow_schema(ds.dataset(self.options["path"]).schema, prefer_timestamp_ntz=True)
+        found = _dataset(self.options["path"]).schema
+        return from_arrow_schema(pa.schema([f for f in found if f.name not in LAYOUT]), prefer_timestamp_ntz=True)
 
     def streamReader(self, schema: StructType) -> LogReader:
         return LogReader(dict(self.options))
 
 
-def register(spark: SparkSession) -> None:
+def register(spark) -> None:
     spark.dataSource.register(CdcLog)
 
 

@@ -7,29 +7,35 @@ repeated after a failure overwrites its own folder, and folding a change twice c
 
 from __future__ import annotations
 
+import logging
 import signal
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidelog.model import Mode, TableSpec
 from tidelog.operators import decode, fold
+from tidelog.session import shared_folder
 from tidelog.sources import cdclog
 from tidelog.sources.manifest import _fs
 
+log = logging.getLogger("tidelog")
+
 
 class CdcEngine:
     """A log and its metadata tables, given as paths."""
 
-    def __init__(self, spark: SparkSession, log: str, generations: str | None = None, ring: str | None = None, tokens: str | None = None, now_ms: int | None = None) -> None:
-        self.spark, self.log = spark, log
-        self.options = {k: str(v) for k, v in {"path": log, "generations": generations, "ring": ring, "tokens": tokens, "now_ms": now_ms}.items() if v is not None}
+    def __init__(self, spark: SparkSession, path: str, generations: str | None = None, ring: str | None = None, tokens: str | None = None, now_ms: int | None = None) -> None:
+        self.spark, self.path = spark, path
+        self.options = {k: str(v) for k, v in {"path": path, "generations": generations, "ring": ring, "tokens": tokens, "now_ms": now_ms}.items() if v is not None}
         self.running: list[StreamingQuery] = []
 
     def batch(self) -> DataFrame:
-        return self.spark.read.parquet(self.log)
+        return self.spark.read.parquet(self.path)
 
     def stream(self) -> DataFrame:
         cdclog.register(self.spark)
@@ -42,6 +48,12 @@ class CdcEngine:
         self.running.append(q)
         return q
 
+    def read_once(self) -> DataFrame:
+        """All that the stream delivers up to now, through a folder in the session's shared one."""
+        folder = f"{shared_folder(self.spark)}/stream-{uuid.uuid4().hex}"
+        self.fetch_changes(lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out/b={i}"), f"{folder}/checkpoint", once=True).awaitTermination()
+        return self.spark.read.parquet(f"{folder}/out").drop("b")
+
     def finish(self) -> None:
         for q in self.running:
             q.stop()
@@ -50,6 +62,28 @@ class CdcEngine:
         signal.signal(signal.SIGINT, lambda *_: self.finish())
 
 
+class ProgressLog(StreamingQueryListener):
+    """Logs what each batch read, at most every ``every_s`` seconds, and why a query ended."""
+
+    def __init__(self, every_s: float = 10.0) -> None:
+        self.every_s, self.last, self.rows = every_s, float("-inf"), 0
+
+    def onQueryStarted(self, event) -> None:
+        log.info("query %s started", event.id)
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        if time.monotonic() - self.last >= self.every_s:
+            self.last = time.monotonic()
+            log.info("batch %d: %d changes, %d in all", event.progress.batchId, event.progress.numInputRows, self.rows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        log.info("query %s ended%s", event.id, f": {event.exception}" if event.exception else "")
+
+
 class Replica:
     """The state of one table under ``folder``, for tables whose rows are deleted one by one or by partition."""
 
@@ -67,13 +101,13 @@ class Replica:
     def _read(self, version: int | None, part: str) -> DataFrame | None:
         return None if version is None else self.spark.read.parquet(f"{self.folder}/v{version}/{part}")
 
-    def apply(self, log: DataFrame, batch_id: int) -> None:
+    def apply(self, changes: DataFrame, batch_id: int) -> None:
         """Fold a batch of the log into the replica; used as the callback of ``CdcEngine.fetch_changes``."""
         done = self.version()
         if done is not None and done >= batch_id:
             return
         pk, ck, columns = self.spec.partition_key, self.spec.clustering_key, self.spec.columns
-        changes = decode.checked(fold.decoded(log, [*self.spec.primary_key, *columns]), self.mode)
+        changes = decode.checked(fold.decoded(changes, [*self.spec.primary_key, *columns]), self.mode)
         rows = fold.row_states(changes, pk, ck, columns)
         dead = fold.partition_tombstones(changes, pk)
         old_rows, old_dead = self._read(done, "rows"), self._read(done, "partitions")
