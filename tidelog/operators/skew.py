@@ -147,4 +147,5 @@ def salted_left(rows: DataFrame, side: DataFrame, key: Sequence[str], spread_by:
     salt = fresh("join_salt", rows, side)
     left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     right = side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*key, salt], "left").drop(salt)
+    # Sorted and merged whatever the side's size: a side that grows with the data must not end up broadcast.
+    return left.join(right.hint("merge"), [*key, salt], "left").drop(salt)
