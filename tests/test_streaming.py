@@ -27,7 +27,7 @@ def test_source_reads_each_change_once(spark, small, tmp_path):
     """Four clocks on one checkpoint; changes of streams outside their generation aren't read, as no task has them."""
     got, p = [], paths(small)
     for now in (1_768_500_000_000, 1_768_500_000_000, 1_769_300_000_000, 1_772_000_000_000):
-        engine = CdcEngine(spark, **p, now_ms=now)
+        engine = CdcEngine(spark, p["log"], p["generations"], p["ring"], p["tokens"], now_ms=now)
         q = engine.fetch_changes(lambda b, i: got.append(with_keys(b, F.col("delivery_batch")).toPandas()), str(tmp_path / "c"), once=True)
         q.awaitTermination()
     rows = [tuple(r) for g in got for r in g.itertuples(index=False)]
