@@ -61,6 +61,29 @@ def test_prefixes_appends_and_edits(data, more, a, b):
     assert p.ids() == merged(p.data)
 
 
+TEXT = st.text(alphabet="ab \n\t's1\xa0é.", max_size=30)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXT, st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), TEXT), max_size=4), TEXT)
+def test_a_document_that_is_edited_and_grows(text, edits, more):
+    d = bpe.Document(ENCODER, text)
+    for a, b, new in edits:
+        a, b = sorted((min(a, len(text)), min(b, len(text))))
+        text = text[:a] + new + text[b:]
+        d.replace(a, b, new)
+        assert d.text == text and d.ids() == REFERENCE.encode_ordinary(text)
+    d.append(more)
+    assert d.ids() == REFERENCE.encode_ordinary(text + more)
+
+
+def test_an_edit_redoes_little():
+    text = "one two three\n" * 1000
+    d = bpe.Document(ENCODER, text)
+    assert d.replace(7000, 7002, " xx ") < 9 and d.append("end") < 5
+    assert d.ids() == REFERENCE.encode_ordinary(text[:7000] + " xx " + text[7002:] + "end")
+
+
 def test_what_is_remembered_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_REMEMBERED", 5)
     e = bpe.Encoder(VOCABULARY)

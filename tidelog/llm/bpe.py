@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
@@ -196,6 +197,50 @@ class Encoder:
         return sum(map(len, map(self.chunks.__getitem__, _CHUNK.findall(text)))) if text else 0
 
 
+class Document:
+    """A text with its ids that can grow and be edited; only chunks near a change are encoded again.
+
+    Chunks are cut from left to right without looking back, and look ahead no further than to the end of white space, which
+    two chunks share at most. So all chunks but the last three before a change stay, and after it cutting goes on only until a
+    new cut falls on an old one.
+    """
+
+    def __init__(self, encoder: Encoder, text: str = "") -> None:
+        self.encoder, self.text = encoder, ""
+        self.starts: list[int] = []
+        self.parts: list[tuple[int, ...]] = []
+        self.append(text)
+
+    def append(self, more: str) -> int:
+        return self.replace(len(self.text), len(self.text), more)
+
+    def replace(self, start: int, end: int, new: str) -> int:
+        """Put ``new`` in place of the characters from ``start`` to ``end``; the number of chunks encoded again."""
+        old_starts, old_parts = self.starts, self.parts
+        shift = len(new) - (end - start)
+        self.text = self.text[:start] + new + self.text[end:]
+        keep = max(0, bisect_left(old_starts, start) - 3)
+        at = old_starts[keep] if keep < len(old_starts) else min(start, len(self.text))
+        starts, parts = old_starts[:keep], old_parts[:keep]
+        tail = bisect_left(old_starts, end)
+        made = 0
+        for m in _CHUNK.finditer(self.text, at):
+            if m.start() >= start + len(new):
+                tail = bisect_left(old_starts, m.start() - shift, tail)
+                if tail < len(old_starts) and old_starts[tail] == m.start() - shift:
+                    starts += [s + shift for s in old_starts[tail:]]
+                    parts += old_parts[tail:]
+                    break
+            starts.append(m.start())
+            parts.append(self.encoder.chunks[m[0]])
+            made += 1
+        self.starts, self.parts = starts, parts
+        return made
+
+    def ids(self) -> list[int]:
+        return list(chain.from_iterable(self.parts))
+
+
 @lru_cache(4)
 def encoder(path: str) -> Encoder:
     """One encoder per process and vocabulary file."""
