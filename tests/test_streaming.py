@@ -109,6 +109,59 @@ def test_kslack_corrects_until_the_bound(spark, tmp_path):
     assert [(r.status, r.n) for r in got if r.key == "j"][-1] == ("final", 1)
 
 
+def _kslack_rows(spark, tmp_path, frames, **options):
+    import time
+
+    for i, f in enumerate(frames):
+        f.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(1.1)
+    src = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    name = "kslack_" + tmp_path.name.replace("-", "_")
+    q = kslack(src, "key", **options).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_kslack_takes_batches_out_of_arrival_order(spark, tmp_path):
+    h, s = HOUR_US, 1_000_000
+    frames = [
+        [("k", "a", 10, 100 * s), ("k", "far", 11, 8 * h)],
+        [("k", "b", 20, 200 * s), ("k", "far", 11, 8 * h)],
+        [("k", "c", 40, 100 * s)],
+        [("k", "d", 70, 150 * s), ("k", "far", 11, 300 * s), ("k", "beyond", 12, 8 * h)],
+        [("clock", "t", 8 * h, 9 * h)],
+        [("clock", "t2", 8 * h, 9 * h)],
+        [("k", "a", 10, 9 * h), ("k", "beyond", 12, 9 * h), ("k", "e", 30, 50 * s), ("k", "e", 30, 9 * h)],
+        [("k", "e", 30, 9 * h)],
+    ]
+    frames = [spark.createDataFrame(f, "key string, id string, us long, arrived_us long") for f in frames]
+    got = [r for r in _kslack_rows(spark, tmp_path, frames, disorder_us=h + h // 2) if r.key == "k" and r.period_us == 0]
+    rows = [(r.status, r.n, r.first_us, r.last_us, r.longest_gap_us, r.n_too_late) for r in got]
+    assert rows == [
+        ("provisional", 1, 10, 10, 0, 1), ("provisional", 2, 10, 20, 10, 1), ("provisional", 3, 10, 40, 20, 1),
+        ("provisional", 5, 10, 70, 30, 1), ("final", 5, 10, 70, 30, 1), ("too_late", 5, 10, 70, 30, 2),
+    ]
+
+
+def test_kslack_by_change_time_is_the_batch(spark, small, tmp_path):
+    """The log in order of change time, as the source delivers it: an eighth of the changes, with all their repeats."""
+    from tidelog.functions import timeuuid as tu
+    from tidelog.operators import lateness
+
+    log = spark.read.parquet(paths(small)["log"])
+    rows = with_keys(log, tu.micros(F.col("cdc$time")).alias("us"), arrived_us(log).alias("arrived_us")).where("us is not null and arrived_us is not null")
+    events = rows.select(F.lit("all").alias("key"), F.concat_ws("/", *KEYS).alias("id"), "us", "arrived_us").where("pmod(xxhash64(id), 8) = 0").cache()
+    lo, hi, spread = events.agg(F.min("us"), F.max("us"), F.max(F.col("arrived_us") - F.col("us"))).first()
+    step = (hi - lo) // 4 + 1
+    frames = [events.where(f"us >= {lo + i * step} and us < {lo + (i + 1) * step}") for i in range(4)]
+    end = hi + 100 * HOUR_US + 2 * spread
+    frames += [spark.createDataFrame([("clock", f"t{i}", end, end)], events.schema) for i in range(2)]
+    got = _kslack_rows(spark, tmp_path, frames, disorder_us=spread)
+    want = lateness.per_period(lateness.buffered(events, ["key", "id"], "us", "arrived_us"), ["key"], "us").collect()
+    finals = [(r.period_us, r.n, r.n_too_late, r.first_us, r.last_us) for r in got if r.key == "all" and r.status == "final"]
+    assert sorted(finals, key=str) == sorted(((r.period_us, r.n_final, r.n_too_late, r.first_event_us, r.last_event_us) for r in want), key=str)
+
+
 def test_manifest_survives_failures(spark, tmp_path):
     inc = Incremental(spark, str(tmp_path / "in"), str(tmp_path / "m"), str(tmp_path / "out"))
 

@@ -2,10 +2,14 @@
 
 Per key and period the buffer holds the events of the period (first copies) until the stream's clock, the greatest arrival
 so far, has passed the period's end by the slack; then they're released in event-time order to a final aggregate that may depend
-on order, and the buffer is dropped. At each batch before that, the period's provisional values come from the buffer.
+on order. At each batch before that, the period's provisional values come from the buffer.
 
-Keying by (key, period) spreads a hot key over its periods. An event that comes after its period was released is
-counted as too late; all that remains of a period then is one number.
+The clock is a watermark whose column is dropped behind it, so it fires timers but filters no rows: batches may come in any
+order of arrival. An event that comes after its period was released, or arrived beyond the bound, is counted as too late,
+once, since the identifiers stay after the release. A source that doesn't deliver by arrival needs ``disorder_us``, by which release waits
+longer; the bound stays. Without it, what is delivered after the release is too late, however early it arrived.
+
+Keying by (key, period) spreads a hot key over its periods.
 """
 
 from __future__ import annotations
@@ -36,52 +40,67 @@ class _Buffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.events = handle.getMapState("events", T.StructType([T.StructField("id", T.StringType())]), T.StructType([T.StructField("us", T.LongType())]))
+        self.late = handle.getMapState("late", T.StructType([T.StructField("id", T.StringType())]), T.StructType([T.StructField("us", T.LongType())]))
         self.info = handle.getValueState("info", T.StructType([T.StructField("json", T.StringType())]))
 
-    def _row(self, key, status: str, too_late: int) -> pd.DataFrame:
+    def _values(self) -> list[int | None]:
         times = sorted(v[0] for v in self.events.values())
         gaps = [b - a for a, b in zip(times, times[1:])]
-        row = (key[0], key[1], status, len(times), times[0] if times else None, times[-1] if times else None, max(gaps, default=0), too_late)
+        return [len(times), times[0] if times else None, times[-1] if times else None, max(gaps, default=0)]
+
+    def _row(self, key, status: str, info: dict) -> pd.DataFrame:
+        row = (key[0], key[1], status, *(info["final"] or self._values()), info["too_late"])
         return pd.DataFrame([row], columns=OUT.names).astype({"first_us": "Int64", "last_us": "Int64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        info = json.loads(self.info.get()[0]) if self.info.exists() else {"released": False, "too_late": 0}
+        info = json.loads(self.info.get()[0]) if self.info.exists() else {"final": None, "too_late": 0}
+        before = info["too_late"]
         bound = key[1] + self.period_us + self.slack_us
         for frame in rows:
             for ident, us, arrived in zip(frame["id"].tolist(), frame["us"].tolist(), frame["arrived_us"].tolist(), strict=True):
-                if not info["released"] and arrived <= bound:
+                if self.events.containsKey((ident,)):
+                    continue
+                late = self.late.containsKey((ident,))
+                if not info["final"] and arrived <= bound:
                     self.events.updateValue((ident,), (us,))
-                elif info["released"] or not self.events.containsKey((ident,)):
+                    if late:  # its first copy is delivered after a later one
+                        self.late.removeKey((ident,))
+                        info["too_late"] -= 1
+                elif not late:
+                    self.late.updateValue((ident,), (us,))
                     info["too_late"] += 1
-        if not info["released"]:
+        if not info["final"]:
             if not self.info.exists():
                 self.handle.registerTimer(bound // 1000 + 1)
-            yield self._row(key, "provisional", info["too_late"])
+            yield self._row(key, "provisional", info)
+        elif info["too_late"] != before:
+            yield self._row(key, "too_late", info)
         self.info.update((json.dumps(info),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         info = json.loads(self.info.get()[0])
-        yield self._row(key, "final", info["too_late"])
-        self.events.clear()
-        info["released"] = True
+        info["final"] = self._values()
+        yield self._row(key, "final", info)
         self.info.update((json.dumps(info),))
 
     def close(self) -> None:
         pass
 
 
-def kslack(events: DataFrame, key: str, period_us: int = HOUR_US, slack_us: int = SLACK_US) -> DataFrame:
+def kslack(events: DataFrame, key: str, period_us: int = HOUR_US, slack_us: int = SLACK_US, disorder_us: int = 0) -> DataFrame:
     """Provisional and final aggregates per ``key`` and period of a streaming ``events`` (``key``, id, us, arrived_us).
 
-    The clock is the watermark on arrival without delay, so a timer fires when an arrival beyond the bound has been seen.
-    Provisional rows come with every batch that touches a period, the final one once. Needs the RocksDB state store.
+    The clock is the greatest arrival less ``disorder_us``, the most by which a row is delivered after later arrivals.
+    Provisional rows come with every batch that touches a period, the final one once, and after it a too_late row with the
+    final values whenever n_too_late grows. Needs the RocksDB state store, which keeps all identifiers.
     """
     rows = events.where("us is not null and arrived_us is not null").select(
         F.col(key).cast("string").alias("key"), (floor_div(F.col("us"), period_us) * F.lit(period_us)).alias("period_us"),
         "id", "us", "arrived_us", F.timestamp_micros("arrived_us").alias("arrival"),
     )
     return (
-        rows.withWatermark("arrival", "0 seconds")
+        rows.withWatermark("arrival", f"{-(-disorder_us // 1000)} milliseconds")
+        .drop("arrival")
         .groupBy("key", "period_us")
         .transformWithStateInPandas(_Buffer(period_us, slack_us), OUT, "update", "EventTime")
     )
