@@ -80,3 +80,16 @@ def test_scan_of_no_streams_is_empty(spark):
     assert w.scan(log, 0, 4 * 10**12).count() == 1
     assert w.scan(log, 0, 4 * 10**12, []).count() == 0
     assert w.scan(log, 0, 4 * 10**12, [b"a"]).count() == 1
+
+
+def test_whole_log_is_replayed_and_scanned(spark, small):
+    from tidelog.functions import timeuuid as tu
+    from tidelog.plans import reference
+    from tidelog.plans.tables import scalar_log
+
+    log, changes = scalar_log(spark, small), reference.QUERIES["task_scan_all"](spark, small)
+    listed = reference.QUERIES["stream_vnodes"](spark, small).select("stream_id").distinct()
+    assert changes.select("vnode_token").distinct().count() > 1
+    assert changes.count() == log.select(F.hex("cdc$stream_id").alias("stream_id")).join(listed, "stream_id").count() > 0
+    last = log.where("`cdc$operation` in (1, 2)").agg(F.max(tu.micros(F.col("cdc$time")))).first()[0]
+    assert reference.QUERIES["replay_delta_all"](spark, small).agg(F.max("write_us")).first()[0] == last > reference.REPLAY_TO_MS * 1000

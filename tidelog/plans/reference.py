@@ -74,6 +74,14 @@ def task_scan(spark, sf_dir):
     return windows.scan(scalar_log(spark, sf_dir), FROM_MS, TO_MS, streams).select(*key_columns(), "pk", "delivery_batch")
 
 
+def task_scan_all(spark, sf_dir):
+    """The changes of every task from the epoch to after the end of the log."""
+    tasks = _assigned(spark, sf_dir).select("stream_id", "vnode_token", "wraparound").distinct()
+    rows = windows.scan(scalar_log(spark, sf_dir), 0, CLOCK_MS)
+    joined = rows.join(tasks, F.col("cdc$stream_id") == tasks["stream_id"]).drop(tasks["stream_id"])
+    return joined.select(*key_columns(), "pk", "delivery_batch", "vnode_token", "wraparound")
+
+
 def window_counts(spark, sf_dir):
     return windows.window_counts(scalar_log(spark, sf_dir), ORIGIN_MS)
 
@@ -125,22 +133,31 @@ def ttl_values(spark, sf_dir):
     return scalar_log(spark, sf_dir).select(*key_columns(), decode.ttl().alias("ttl")).where("ttl is not null").distinct()
 
 
-def _upto(log: DataFrame) -> DataFrame:
-    return windows.scan(log, 0, REPLAY_TO_MS)
+def _upto(log: DataFrame, end_ms: int) -> DataFrame:
+    return windows.scan(log, 0, end_ms)
 
 
 def _values(columns: tuple[str, ...]) -> list[Column]:
     return [F.when(~F.col(f"{c}.gone"), F.col(f"{c}.value")).alias(c) for c in columns]
 
 
-def replay_delta(spark, sf_dir):
-    """Inserts and updates up to an instant, last write per cell; neither deletions of rows nor lifetimes are applied."""
-    changes = fold.decoded(_upto(scalar_log(spark, sf_dir)), ["pk", "ck", "v", "s"]).where("op in (1, 2)")
+def _replayed(spark: SparkSession, sf_dir: str, end_ms: int) -> DataFrame:
+    changes = fold.decoded(_upto(scalar_log(spark, sf_dir), end_ms), ["pk", "ck", "v", "s"]).where("op in (1, 2)")
     rows = fold.row_states(changes, ["pk"], ["ck"], ["v", "s"])
     us = F.greatest("v.us", "s.us", "mark.us")
     return rows.where(us.isNotNull()).select("pk", "ck", *_values(("v", "s")), us.alias("write_us"))
 
 
+def replay_delta(spark, sf_dir):
+    """Inserts and updates up to an instant, last write per cell; neither deletions of rows nor lifetimes are applied."""
+    return _replayed(spark, sf_dir, REPLAY_TO_MS)
+
+
+def replay_delta_all(spark, sf_dir):
+    """``replay_delta`` up to an instant after the end of the log."""
+    return _replayed(spark, sf_dir, CLOCK_MS)
+
+
 def ttl_live_rows(spark, sf_dir):
     """v as it lives at p5's instant by lifetime alone."""
     changes = fold.decoded(scalar_log(spark, sf_dir), ["pk", "ck", "v"]).where("op in (1, 2)")
@@ -281,9 +298,9 @@ def stream_changes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    gen_starts, gen_list, gen_next, gen_end, gen_streams, stream_vnodes, vnode_tasks, window_scan, task_scan, window_counts,
+    gen_starts, gen_list, gen_next, gen_end, gen_streams, stream_vnodes, vnode_tasks, window_scan, task_scan, task_scan_all, window_counts,
     window_running_total, window_last_non_empty, window_fetch, time_functions, operation_counts, row_keys, base_rows, cell_states,
-    ttl_values, replay_delta, ttl_live_rows, row_delete_apply, partition_delete_apply, range_delete_pairs, range_orphans,
+    ttl_values, replay_delta, replay_delta_all, ttl_live_rows, row_delete_apply, partition_delete_apply, range_delete_pairs, range_orphans,
     range_pairs_across_time, range_delete_apply, lww_cells, postimage_pairs, replay_postimage, preimage_check, set_apply, map_apply,
     list_apply, printer_lines, stream_changes,
 )}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.plans.problems_sql import GENERATIONS, KEY, TICKS, US
-from tidelog.plans.reference import FROM_MS, HOUR_MS, ORIGIN_MS, REPLAY_TO_MS, TO_MS
+from tidelog.plans.reference import CLOCK_MS, FROM_MS, HOUR_MS, ORIGIN_MS, REPLAY_TO_MS, TO_MS
 
 _STARTS = "s AS (SELECT DISTINCT epoch_us(time) AS start_us FROM cdc_streams_descriptions WHERE time IS NOT NULL)"
 _GENS = f"{_STARTS}, g AS (SELECT start_us, lead(start_us) OVER (ORDER BY start_us) AS end_us FROM s)"
@@ -64,6 +64,8 @@ SQL = {
     "window_scan": f"SELECT {KEY}, {TICKS} AS ticks, delivery_batch FROM scalar_scylla_cdc_log WHERE {_within(FROM_MS, TO_MS)}",
     "task_scan": f"""WITH {_VNODES} SELECT {KEY}, pk, delivery_batch FROM scalar_scylla_cdc_log WHERE {_within(FROM_MS, TO_MS)}
         AND hex("cdc$stream_id") IN (SELECT stream_id FROM a WHERE wraparound)""",
+    "task_scan_all": f"""WITH {_VNODES}, tasks AS (SELECT DISTINCT stream_id AS task_stream, vnode_token, wraparound FROM a) SELECT {KEY}, pk, delivery_batch, vnode_token, wraparound
+        FROM scalar_scylla_cdc_log JOIN tasks ON hex("cdc$stream_id") = task_stream WHERE {_within(0, CLOCK_MS)}""",
     "window_counts": f"WITH {_counts(30_000)} SELECT * FROM c",
     "window_running_total": f"WITH {_counts(HOUR_MS)} SELECT *, CAST(sum(n) OVER (PARTITION BY stream_id ORDER BY bucket) AS BIGINT) AS total FROM c",
     "window_last_non_empty": f"WITH {_counts(30_000)} SELECT stream_id, max(bucket) AS last_bucket FROM c GROUP BY 1",
@@ -87,6 +89,11 @@ SQL = {
         k AS (SELECT pk, ck, max({US}) FILTER (WHERE "cdc$operation" = 2) AS us FROM l GROUP BY ALL)
         SELECT pk, ck, bv.val AS v, bs.val AS s, greatest(k.us, bv.us, bs.us) AS write_us FROM k LEFT JOIN bv USING (pk, ck) LEFT JOIN bs USING (pk, ck)
         WHERE greatest(k.us, bv.us, bs.us) IS NOT NULL""",
+    "replay_delta_all": f"""WITH l AS (SELECT * FROM scalar_scylla_cdc_log WHERE {_within(0, CLOCK_MS)} AND "cdc$operation" IN (1, 2)),
+        {_best("l", "pk, ck", "v").replace("b AS", "bv AS", 1)}, {_best("l", "pk, ck", "s").replace("b AS", "bs AS", 1)},
+        k AS (SELECT pk, ck, max({US}) FILTER (WHERE "cdc$operation" = 2) AS us FROM l GROUP BY ALL)
+        SELECT pk, ck, bv.val AS v, bs.val AS s, greatest(k.us, bv.us, bs.us) AS write_us FROM k LEFT JOIN bv USING (pk, ck) LEFT JOIN bs USING (pk, ck)
+        WHERE greatest(k.us, bv.us, bs.us) IS NOT NULL""",
     "ttl_live_rows": f"WITH {_best('scalar_scylla_cdc_log', 'pk, ck', 'v')} SELECT pk, ck, val AS v FROM b WHERE NOT gone AND (ttl IS NULL OR us + ttl * 1000000 > {P5_NOW_US})",
     "row_delete_apply": f"""WITH {_best('scalar_scylla_cdc_log', 'pk, ck', 'v')}, t AS (SELECT pk, ck, max({US}) AS us FROM scalar_scylla_cdc_log WHERE "cdc$operation" = 3 GROUP BY ALL)
         SELECT pk, ck, val AS v FROM b WHERE NOT gone AND NOT EXISTS (SELECT 1 FROM t WHERE t.pk = b.pk AND t.ck = b.ck AND t.us >= b.us)""",
