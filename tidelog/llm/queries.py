@@ -28,6 +28,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = toxicity.labelled_sample(table(spark, sf_dir, "review_snippets"), "snippet", "category")
     model = toxicity.fit(labelled)
+    model = toxicity.with_background(model, *toxicity.background(table(spark, sf_dir, "documents"), "doc_id", "text", model))
     return toxicity.scored(_documents(spark, sf_dir, "source"), "doc_id", "text", model, keep=["source"])
 
 
