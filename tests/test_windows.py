@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.operators import topology
 from tidelog.operators import windows as w
 from tidelog.operators.windows import FetchWindow as W
 
@@ -55,19 +56,28 @@ def test_end_learned_late_gives_an_inverted_last_window():
     assert x.last and x.end_ms < x.start_ms
 
 
-def test_pace_and_text():
-    assert w.pace_ms(None, True) == 30_000
-    assert w.pace_ms(W(1, 2), True) == 30_000
-    assert w.pace_ms(W(1, 2), False) == 10_000
-    assert w.pace_ms(W(1, 2, cropped=True), True) == 1_000
+def test_pace_and_text(spark):
+    rows = [(None, True), ((1, 2, False, False), True), ((1, 2, False, False), False), ((1, 2, True, False), True)]
+    df = spark.createDataFrame(rows, "w struct<start_ms:long,end_ms:long,cropped:boolean,last:boolean>, empty boolean")
+    assert [r[0] for r in df.select(w.pace_column(F.col("w"), F.col("empty"))).collect()] == [30_000, 30_000, 10_000, 1_000]
     assert str(W(1, 2, cropped=True)) == "(1, 2](cropped)"
 
 
-@pytest.mark.parametrize(("fetched", "end", "topology", "non_empty", "want"), [
+@pytest.mark.parametrize(("fetched", "end", "change", "non_empty", "want"), [
     (1, 1000, 0, 10**9, False), (1, 1000, 1, 10**9, False), (1, None, 1, 10**9, False), (1, None, 2, 10**9, True), (1, None, 0, 0, True),
+    (1, None, None, 10**9, False), (1, None, None, None, True), (1, 5, None, None, False),
 ])
-def test_refresh(fetched, end, topology, non_empty, want):
-    assert w.needs_refresh(fetched, end, topology, non_empty, 10**9) is want
+def test_refresh(spark, fetched, end, change, non_empty, want):
+    df = spark.createDataFrame([(fetched, end, change, non_empty)], "f long, e long, c long, n long")
+    needed = topology.refresh_needed(F.col("f"), F.col("e"), F.col("c"), F.col("n"), F.lit(10**9))
+    assert df.select(needed).first()[0] is want
+
+
+def test_topology_events(spark):
+    events = spark.createDataFrame([("add", 3), ("Remove", 7), ("up", 9), ("down", 10), (None, 11), ("add", None), ("add", 3)], "kind string, us long")
+    assert sorted(r.us for r in topology.topology_changes(events).collect()) == [3, 3, 7]
+    assert topology.last_topology_change(events).collect()[0][0] == 7
+    assert topology.last_topology_change(events.limit(0)).collect()[0][0] is None
 
 
 def test_bucket_edges(spark):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.model import Mode, TableSpec
 from tidelog.operators import decode
@@ -40,8 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.what == "print":
 
         def show(batch, _):
-            columns = [F.col(f"`{c}`") for c in batch.columns if c != "cdc$stream_id"]
-            for r in decode.printed(batch, columns).toLocalIterator():
+            for r in decode.printed(batch).toLocalIterator():
                 print(r.line)
 
         consume = show

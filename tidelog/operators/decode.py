@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.model import Mode, TableSpec
 
@@ -69,7 +70,15 @@ def dispatch(changes: DataFrame, handlers: dict[int, Callable[[DataFrame], DataF
     return out
 
 
-def printed(log: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """(line): HEX(stream) -> row, with the row's ``columns`` joined as text; null reads NULL."""
-    fields = F.concat_ws(", ", *[F.coalesce(c.cast("string"), F.lit("NULL")) for c in columns])
-    return log.select(F.concat(F.hex("cdc$stream_id"), F.lit(" -> Row["), fields, F.lit("]")).alias("line"))
+def printed(log: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(line): HEX(stream) -> row, with all of the row's columns, or ``columns``, joined as text. Null reads NULL, and binary
+    values are hex."""
+
+    def text(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(log.schema[name].dataType, T.BinaryType):
+            c = F.hex(c)
+        return F.coalesce(c.cast("string"), F.lit("NULL"))
+
+    fields = F.concat_ws(", ", *[text(c) for c in columns or log.columns])
+    return log.select(F.concat(F.coalesce(F.hex("cdc$stream_id"), F.lit("NULL")), F.lit(" -> Row["), fields, F.lit("]")).alias("line"))

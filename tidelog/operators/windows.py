@@ -52,10 +52,10 @@ def compute_window(start_ms: int, end_ms: int | None, now_ms: int) -> FetchWindo
     return w and crop_window(w)
 
 
-def pace_ms(w: FetchWindow | None, empty: bool) -> int:
-    if w is None or (empty and not w.cropped):
-        return PACE_MS["idle"]
-    return PACE_MS["cropped" if w.cropped else "read"]
+def pace_column(window: Column, empty: Column) -> Column:
+    """Milliseconds to wait after a window (a struct as of ``window_column``, or null) that was ``empty`` or not."""
+    idle = window.isNull() | (empty & ~window["cropped"])
+    return F.when(idle, PACE_MS["idle"]).when(window["cropped"], PACE_MS["cropped"]).otherwise(PACE_MS["read"])
 
 
 def window_column(start_ms: Column, end_ms: Column, now_ms: Column) -> Column:
@@ -75,11 +75,6 @@ def window_column(start_ms: Column, end_ms: Column, now_ms: Column) -> Column:
     )
 
 
-def needs_refresh(fetched_ms: int, end_ms: int | None, topology_change_ms: int, last_non_empty_ms: int, now_ms: int) -> bool:
-    """Whether a generation's end must be looked up again."""
-    return end_ms is None and (fetched_ms < topology_change_ms or last_non_empty_ms < now_ms - LATE_MS)
-
-
 def in_window(time: Column, start_ms: int, end_ms: int) -> Column:
     """The half-open range as a predicate on a uuid column."""
     t = tu.ticks(time)

@@ -6,7 +6,14 @@ from tidelog.plans.problems import P5_NOW_US, STORED_UP_TO
 
 KEY = """hex("cdc$stream_id") AS stream_id, lower("cdc$time") AS change_time, "cdc$batch_seq_no" AS batch_seq_no"""
 TICKS = """(CAST('0x' || substr("cdc$time", 16, 3) || substr("cdc$time", 10, 4) || substr("cdc$time", 1, 8) AS BIGINT) - 122192928000000000)"""
-US = f"({TICKS} // 10)"
+
+
+def floor_sql(a: str, by: int) -> str:
+    """Floor division of whole numbers, also below zero, where // cuts off towards zero."""
+    return f"(({a} - (({a}) % {by} + {by}) % {by}) // {by})"
+
+
+US = floor_sql(TICKS, 10)
 ARRIVED = "epoch_us(arrived_at)"
 NEVER = 2**63 - 1
 
@@ -59,7 +66,7 @@ _SCALAR = _current("scalar_scylla_cdc_log", ["ck"], ["v", "s"], False)
 _MULTI = _current("multi_ck_scylla_cdc_log", ["c1", "c2"], ["v"], True)
 
 _LATE = f"""WITH c AS (SELECT {KEY}, {US} AS us, min({ARRIVED}) AS first_us FROM scalar_scylla_cdc_log GROUP BY ALL),
-p AS (SELECT *, us // 3600000000 * 3600000000 AS period_us FROM c),
+p AS (SELECT *, {floor_sql('us', 3600000000)} * 3600000000 AS period_us FROM c),
 f AS (SELECT *, CASE WHEN first_us < period_us + 3600000000 THEN 'on_time' WHEN first_us <= period_us + 25200000000 THEN 'correction' ELSE 'too_late' END AS fate FROM p)"""
 
 GENERATIONS = f"""WITH g AS (SELECT epoch_us(time) AS generation_us, flatten(list(streams)) AS streams FROM cdc_streams_descriptions WHERE time IS NOT NULL GROUP BY time),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import collection
 from tidelog.functions import timeuuid as tu
 from tidelog.model import MULTI_CK, SCALAR, Mode
-from tidelog.operators import decode, elements, fold, generations, ordered, preimage, vnodes, windows
+from tidelog.operators import decode, elements, fold, generations, ordered, preimage, topology, vnodes, windows
 from tidelog.operators.changes import key_columns
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.plans.tables import multi_log, scalar_log, table
@@ -23,6 +23,8 @@ from tidelog.streaming.engine import CdcEngine
 FROM_MS, TO_MS, REPLAY_TO_MS = 1_768_867_200_000, 1_768_953_600_000, 1_769_299_200_000
 ORIGIN_MS = 1_767_225_600_000
 HOUR_MS = 3_600_000
+#: 2026-02-01: a task has few streams, so its window is longer.
+TASK_TO_MS = 1_769_904_000_000
 #: 2026-02-20: after all changes.
 CLOCK_MS = 1_771_545_600_000
 
@@ -69,9 +71,12 @@ def window_scan(spark, sf_dir):
 
 
 def task_scan(spark, sf_dir):
-    """The changes of the wrap-around task in the window."""
-    streams = _assigned(spark, sf_dir).where("wraparound")
-    return windows.scan(scalar_log(spark, sf_dir), FROM_MS, TO_MS, streams).select(*key_columns(), "pk", "delivery_batch")
+    """The changes that the busiest task of the log has in the window."""
+    log, assigned = scalar_log(spark, sf_dir), _assigned(spark, sf_dir)
+    per_stream = log.groupBy(F.col("cdc$stream_id").alias("stream_id")).agg(F.count(F.lit(1)).alias("n"))
+    busiest = assigned.join(per_stream, "stream_id").groupBy("vnode_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "vnode_token").limit(1)
+    streams = assigned.where(F.col("vnode_token") == busiest.select("vnode_token").scalar())
+    return windows.scan(log, FROM_MS, TASK_TO_MS, streams).select(*key_columns(), "pk", "delivery_batch")
 
 
 def task_scan_all(spark, sf_dir):
@@ -99,7 +104,8 @@ def window_fetch(spark, sf_dir):
     ms = tu.floor_div(F.col("start_us"), 1000), tu.floor_div(F.col("end_us"), 1000)
     rows = generations.generations_of(_generations(spark, sf_dir)).select(ms[0].alias("gen_start_ms"), ms[1].alias("gen_end_ms"))
     w = windows.window_column(F.col("gen_start_ms"), F.col("gen_end_ms"), F.lit(FROM_MS))
-    return rows.withColumn("w", w).select("gen_start_ms", "w.start_ms", "w.end_ms", "w.cropped", "w.last")
+    pace = windows.pace_column(F.col("w"), F.lit(False))
+    return rows.withColumn("w", w).select("gen_start_ms", "w.start_ms", "w.end_ms", "w.cropped", "w.last", pace.alias("pace_ms"))
 
 
 def time_functions(spark, sf_dir):
@@ -286,8 +292,35 @@ def list_apply(spark, sf_dir):
 
 
 def printer_lines(spark, sf_dir):
-    c = [F.lower("cdc$time"), F.col("cdc$batch_seq_no"), F.col("cdc$operation").cast("int"), F.col("cdc$ttl"), F.col("pk"), F.col("ck"), F.col("s")]
-    return decode.printed(scalar_log(spark, sf_dir), c)
+    return decode.printed(multi_log(spark, sf_dir))
+
+
+def partition_key_rows(spark, sf_dir):
+    return decode.partition_keys(multi_log(spark, sf_dir), MULTI_CK).distinct()
+
+
+def _topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topology events derived from ``events``: signups are joining nodes, errors leaving ones, the rest goes up or down."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "view", "up").otherwise("down")
+    return e.select(F.col("user_id").alias("node"), tu.epoch_us(e, "ts").alias("us"), kind.alias("kind"))
+
+
+def topology_changes(spark, sf_dir):
+    return topology.topology_changes(_topology(spark, sf_dir)).select("node", "us", "kind")
+
+
+def topology_last_change(spark, sf_dir):
+    return topology.last_topology_change(_topology(spark, sf_dir))
+
+
+def generations_to_refresh(spark, sf_dir):
+    """Of each generation, fetched when it had settled, whether its end must be looked up again at the clock."""
+    change = topology.last_topology_change(_topology(spark, sf_dir)).select(tu.floor_div(F.col("last_change_us"), 1000))
+    rows_ms = scalar_log(spark, sf_dir).agg(F.max(tu.millis(F.col("cdc$time"))))
+    fetched = tu.floor_div(F.col("start_us") + F.lit(generations.SETTLE_US), 1000)
+    needed = topology.refresh_needed(fetched, F.col("end_us"), change.scalar(), rows_ms.scalar(), F.lit(CLOCK_MS))
+    return generations.generations_of(_generations(spark, sf_dir)).select("start_us", "end_us", needed.alias("refresh"))
 
 
 def stream_changes(spark, sf_dir):
@@ -302,5 +335,5 @@ QUERIES = {f.__name__: f for f in (
     window_running_total, window_last_non_empty, window_fetch, time_functions, operation_counts, row_keys, base_rows, cell_states,
     ttl_values, replay_delta, replay_delta_all, ttl_live_rows, row_delete_apply, partition_delete_apply, range_delete_pairs, range_orphans,
     range_pairs_across_time, range_delete_apply, lww_cells, postimage_pairs, replay_postimage, preimage_check, set_apply, map_apply,
-    list_apply, printer_lines, stream_changes,
+    list_apply, printer_lines, partition_key_rows, topology_changes, topology_last_change, generations_to_refresh, stream_changes,
 )}

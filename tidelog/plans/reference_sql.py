@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tidelog.plans.problems import P5_NOW_US
-from tidelog.plans.problems_sql import GENERATIONS, KEY, TICKS, US
-from tidelog.plans.reference import CLOCK_MS, FROM_MS, HOUR_MS, ORIGIN_MS, REPLAY_TO_MS, TO_MS
+from tidelog.plans.problems_sql import GENERATIONS, KEY, TICKS, US, floor_sql
+from tidelog.plans.reference import CLOCK_MS, FROM_MS, HOUR_MS, ORIGIN_MS, REPLAY_TO_MS, TASK_TO_MS, TO_MS
 
 _STARTS = "s AS (SELECT DISTINCT epoch_us(time) AS start_us FROM cdc_streams_descriptions WHERE time IS NOT NULL)"
 _GENS = f"{_STARTS}, g AS (SELECT start_us, lead(start_us) OVER (ORDER BY start_us) AS end_us FROM s)"
@@ -17,11 +17,11 @@ def _within(lo_ms: int, hi_ms: int) -> str:
     return f"{TICKS} > {lo_ms * 10_000 + 9_999} AND {TICKS} <= {hi_ms * 10_000 + 9_999}"
 
 
-_MS = f"({TICKS} // 10000)"
+_MS = floor_sql(TICKS, 10_000)
 
 
 def _counts(length: int) -> str:
-    return f"""c AS (SELECT hex("cdc$stream_id") AS stream_id, ({_MS} - {ORIGIN_MS} + {length - 1}) // {length} AS bucket, count(*) AS n FROM scalar_scylla_cdc_log GROUP BY ALL)"""
+    return f"""c AS (SELECT hex("cdc$stream_id") AS stream_id, {floor_sql(f"({_MS} - {ORIGIN_MS} + {length - 1})", length)} AS bucket, count(*) AS n FROM scalar_scylla_cdc_log GROUP BY ALL)"""
 
 
 def _best(table: str, keys: str, value: str, where: str = "true", time: str = US) -> str:
@@ -51,6 +51,8 @@ def _elements(elem: str, value: str, joined: str) -> str:
     SELECT w.pk, string_agg({joined}) AS elements FROM w LEFT JOIN x ON x.pk = w.pk WHERE gone = 0 AND (cleared IS NULL OR us > cleared) GROUP BY w.pk"""
 
 
+_COLUMNS = ["cdc$time", "cdc$batch_seq_no", "cdc$operation", "cdc$ttl", "cdc$deleted_v", "pk", "c1", "c2", "v", "arrived_at", "delivery_batch"]
+_TOPOLOGY = "e AS (SELECT user_id AS node, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' WHEN 'view' THEN 'up' ELSE 'down' END AS kind FROM events)"
 _K = "stream_id, change_time, batch_seq_no"
 _TEXT = "coalesce(CAST({} AS VARCHAR), 'NULL')"
 SQL = {
@@ -62,18 +64,20 @@ SQL = {
     "stream_vnodes": f"WITH {_VNODES} SELECT * FROM a",
     "vnode_tasks": f"WITH {_VNODES} SELECT vnode_token, wraparound, count(*) AS n_streams, min(stream_id) AS first_stream FROM (SELECT DISTINCT vnode_token, wraparound, stream_id FROM a) GROUP BY 1, 2",
     "window_scan": f"SELECT {KEY}, {TICKS} AS ticks, delivery_batch FROM scalar_scylla_cdc_log WHERE {_within(FROM_MS, TO_MS)}",
-    "task_scan": f"""WITH {_VNODES} SELECT {KEY}, pk, delivery_batch FROM scalar_scylla_cdc_log WHERE {_within(FROM_MS, TO_MS)}
-        AND hex("cdc$stream_id") IN (SELECT stream_id FROM a WHERE wraparound)""",
+    "task_scan": f"""WITH {_VNODES} SELECT {KEY}, pk, delivery_batch FROM scalar_scylla_cdc_log WHERE {_within(FROM_MS, TASK_TO_MS)}
+        AND hex("cdc$stream_id") IN (SELECT stream_id FROM a WHERE vnode_token = (SELECT vnode_token FROM a JOIN (SELECT hex("cdc$stream_id") AS stream_id FROM scalar_scylla_cdc_log) USING (stream_id)
+            GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))""",
     "task_scan_all": f"""WITH {_VNODES}, tasks AS (SELECT DISTINCT stream_id AS task_stream, vnode_token, wraparound FROM a) SELECT {KEY}, pk, delivery_batch, vnode_token, wraparound
         FROM scalar_scylla_cdc_log JOIN tasks ON hex("cdc$stream_id") = task_stream WHERE {_within(0, CLOCK_MS)}""",
     "window_counts": f"WITH {_counts(30_000)} SELECT * FROM c",
     "window_running_total": f"WITH {_counts(HOUR_MS)} SELECT *, CAST(sum(n) OVER (PARTITION BY stream_id ORDER BY bucket) AS BIGINT) AS total FROM c",
     "window_last_non_empty": f"WITH {_counts(30_000)} SELECT stream_id, max(bucket) AS last_bucket FROM c GROUP BY 1",
-    "window_fetch": f"""WITH {_GENS}, m AS (SELECT start_us // 1000 AS a, end_us // 1000 AS b, {FROM_MS - 10_000} AS safe FROM g),
+    "window_fetch": f"""WITH {_GENS}, m AS (SELECT {floor_sql('start_us', 1000)} AS a, {floor_sql('end_us', 1000)} AS b, {FROM_MS - 10_000} AS safe FROM g),
         u AS (SELECT *, coalesce(safe >= b, false) AS ends, CASE WHEN safe >= b THEN b ELSE safe END AS until FROM m),
         k AS (SELECT *, safe >= a AS ok, a > 0 AND until - a > 30000 AS crop FROM u)
         SELECT a AS gen_start_ms, CASE WHEN ok THEN a END AS start_ms, CASE WHEN ok THEN CASE WHEN crop THEN a + 30000 ELSE until END END AS end_ms,
-        CASE WHEN ok THEN crop END AS cropped, CASE WHEN ok THEN ends AND NOT crop END AS last FROM k""",
+        CASE WHEN ok THEN crop END AS cropped, CASE WHEN ok THEN ends AND NOT crop END AS last,
+        CASE WHEN NOT ok THEN 30000 WHEN crop THEN 1000 ELSE 10000 END AS pace_ms FROM k""",
     "time_functions": f"""SELECT DISTINCT lower("cdc$time") AS change_time, {TICKS} AS ticks, {US} AS us, {_MS} AS ms, {_MS} * 10000 AS first_tick,
         {_MS} * 10000 + 9999 AS last_tick FROM scalar_scylla_cdc_log""",
     "operation_counts": 'SELECT CAST("cdc$operation" AS INTEGER) AS op, count(*) AS n FROM multi_ck_scylla_cdc_log GROUP BY 1',
@@ -123,6 +127,12 @@ SQL = {
     "list_apply": _elements("ck", "CAST(seq AS VARCHAR)", "value, ',' ORDER BY elem"),
     "stream_changes": f"""{GENERATIONS} SELECT stream_id, change_time, batch_seq_no, pk, ck, delivery_batch FROM (SELECT {KEY}, pk, ck, delivery_batch FROM scalar_scylla_cdc_log) l
         JOIN (SELECT stream_id, change_time, batch_seq_no FROM r WHERE listed) USING (stream_id, change_time, batch_seq_no)""",
-    "printer_lines": f"""SELECT hex("cdc$stream_id") || ' -> Row[' || lower("cdc$time") || ', ' || {_TEXT.format('"cdc$batch_seq_no"')} || ', ' || {_TEXT.format('"cdc$operation"')}
-        || ', ' || {_TEXT.format('"cdc$ttl"')} || ', ' || {_TEXT.format("pk")} || ', ' || {_TEXT.format("ck")} || ', ' || {_TEXT.format("s")} || ']' AS line FROM scalar_scylla_cdc_log""",
+    "printer_lines": f"""SELECT hex("cdc$stream_id") || ' -> Row[' || {" || ', ' || ".join([_TEXT.format('hex("cdc$stream_id")'), *[_TEXT.format(f'"{c}"') for c in _COLUMNS]])} || ']' AS line
+        FROM multi_ck_scylla_cdc_log""",
+    "partition_key_rows": "SELECT DISTINCT pk FROM multi_ck_scylla_cdc_log",
+    "topology_changes": f"WITH {_TOPOLOGY} SELECT node, us, kind FROM e WHERE kind IN ('add', 'remove')",
+    "topology_last_change": f"WITH {_TOPOLOGY} SELECT max(us) AS last_change_us FROM e WHERE kind IN ('add', 'remove')",
+    "generations_to_refresh": f"""WITH {_GENS}, {_TOPOLOGY}, c AS (SELECT {floor_sql("max(us)", 1000)} AS change_ms FROM e WHERE kind IN ('add', 'remove')),
+        n AS (SELECT max({_MS}) AS rows_ms FROM scalar_scylla_cdc_log)
+        SELECT start_us, end_us, end_us IS NULL AND ({floor_sql("start_us", 1000)} + 30000 < change_ms OR rows_ms < {CLOCK_MS - 10_000}) AS refresh FROM g, c, n""",
 }
