@@ -136,7 +136,37 @@ def test_lateness_limits(spark):
     events = lateness.buffered(df, ["id"], "us", "arrived")
     assert {r.id: r.fate for r in events.collect()} == {"on": "on_time", "edge": "correction", "last": "correction", "over": "too_late", "early": "on_time"}
     got = {r.period_us: tuple(r)[1:] for r in lateness.per_period(events, [], "us").collect()}
-    assert got == {0: (1, 2, 3, 1, 10, 10), h: (1, 0, 1, 0, h + 5, h + 5)}
+    assert got == {0: (1, 2, 3, 1, 10, 10, 0, 0), h: (1, 0, 1, 0, h + 5, h + 5, 0, 0)}
+    assert {r.id for r in lateness.corrections(events, [], ["id"], "us").collect()} == {"edge", "last"}
+
+
+def test_release_is_in_event_order_and_gaps_cross_slices(spark):
+    r, h = random.Random(8), tu.HOUR_US
+    rows = [(r.choice("aab"), i, us := r.randrange(3 * h), us + r.choice([0, h // 2, 5 * h, 9 * h])) for i in range(300)]
+    rows += rows[:50] + [(None, 900, 7, 7), (None, 901, 7, 7), ("a", 902, None, 5)]
+    df = spark.createDataFrame(rows, "k string, id long, us long, arrived long").repartition(5)
+    events = lateness.buffered(df, ["k", "id"], "us", "arrived")
+    out = lateness.released(events, ["k"], ["id"], "us").collect()
+    groups: dict = {}
+    for x in out:
+        groups.setdefault((x.k, x.period_us, x.slice), []).append((x.released_no, x.us, x.id))
+    for g in groups.values():
+        assert [n for n, _, _ in sorted(g)] == list(range(1, len(g) + 1)) and [y[1:] for y in sorted(g)] == sorted(y[1:] for y in g)
+    got = {(x.k, x.period_us): (x.n_final, x.n_too_late, x.provisional_gap_us, x.longest_gap_us) for x in lateness.per_period(events, ["k"], "us").collect()}
+
+    def gap(times):
+        times = sorted(times)
+        return max((b - a for a, b in zip(times, times[1:])), default=0)
+
+    first = {(k, i): (us, a) for k, i, us, a in rows if us is not None}
+    want: dict = {}
+    for (k, _), (us, a) in first.items():
+        p = us // h * h
+        w = want.setdefault((k, p), ([], [], []))
+        (w[2] if a > p + 7 * h else w[1]).append(us)
+        if a < p + h:
+            w[0].append(us)
+    assert got == {key: (len(w[1]), len(w[2]), gap(w[0]), gap(w[1])) for key, w in want.items()}
 
 
 def test_time_of_a_zoneless_timestamp_doesnt_depend_on_the_session(spark):

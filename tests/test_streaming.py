@@ -156,10 +156,23 @@ def test_kslack_by_change_time_is_the_batch(spark, small, tmp_path):
     frames = [events.where(f"us >= {lo + i * step} and us < {lo + (i + 1) * step}") for i in range(4)]
     end = hi + 100 * HOUR_US + 2 * spread
     frames += [spark.createDataFrame([("clock", f"t{i}", end, end)], events.schema) for i in range(2)]
-    got = _kslack_rows(spark, tmp_path, frames, disorder_us=spread)
+    _kslack_rows(spark, tmp_path, frames, disorder_us=spread, slices=3)
+    from tidelog.streaming.kslack import merged
+
+    got = merged(spark.table("kslack_" + tmp_path.name.replace("-", "_")).where("status = 'final'")).collect()
     want = lateness.per_period(lateness.buffered(events, ["key", "id"], "us", "arrived_us"), ["key"], "us").collect()
-    finals = [(r.period_us, r.n, r.n_too_late, r.first_us, r.last_us) for r in got if r.key == "all" and r.status == "final"]
-    assert sorted(finals, key=str) == sorted(((r.period_us, r.n_final, r.n_too_late, r.first_event_us, r.last_event_us) for r in want), key=str)
+    finals = [(r.period_us, r.n, r.n_too_late, r.first_us, r.last_us, r.longest_gap_us) for r in got if r.key == "all"]
+    assert sorted(finals, key=str) == sorted(((r.period_us, r.n_final, r.n_too_late, r.first_event_us, r.last_event_us, r.longest_gap_us) for r in want), key=str)
+
+
+def test_kslack_drops_its_state(spark, tmp_path):
+    """A repeat within ``forget_us`` counts once, one that comes after the state was dropped starts anew."""
+    h = HOUR_US
+    frames = [[("k", "a", 10, 20)], [("c", "t", 8 * h, 8 * h)], [("c", "t1", 8 * h, 8 * h)], [("k", "b", 12, 8 * h)], [("k", "b", 12, 8 * h)], [("c", "t2", 20 * h, 20 * h)], [("c", "t3", 20 * h, 21 * h)], [("k", "b", 12, 22 * h)]]
+    frames = [spark.createDataFrame(f, "key string, id string, us long, arrived_us long") for f in frames]
+    got = [(r.status, r.n, r.n_too_late) for r in _kslack_rows(spark, tmp_path, frames, forget_us=h) if r.key == "k"]
+    assert got[0] == ("provisional", 1, 0) and ("final", 1, 0) in got and got.count(("too_late", 1, 1)) == 1
+    assert got[-1][0] != "too_late" and got[-1][1] == 0
 
 
 def test_manifest_survives_failures(spark, tmp_path):

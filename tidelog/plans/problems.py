@@ -105,7 +105,7 @@ def _lateness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lateness(spark, sf_dir).where(F.col("fate") == lateness.CORRECTION).select(*KEYS)
+    return lateness.corrections(_lateness(spark, sf_dir), ["stream_id"], KEYS, "us").select(*KEYS)
 
 
 def p6_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

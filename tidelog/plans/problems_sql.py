@@ -99,9 +99,12 @@ SQL = {
     "p5_found": f"""SELECT 'scalar' AS base_table, pk, ck AS c1, CAST(0 AS BIGINT) AS c2, v_time, s_time FROM ({_SCALAR})
         UNION ALL SELECT 'multi_ck', pk, c1, c2, v_time, '' FROM ({_MULTI})""",
     "p6_found": f"{_LATE} SELECT {_K} FROM f WHERE fate = 'correction'",
-    "p6_hourly": f"""{_LATE} SELECT stream_id, period_us, count(*) FILTER (WHERE fate = 'on_time') AS n_provisional, count(*) FILTER (WHERE fate = 'correction') AS n_corrections,
-        count(*) FILTER (WHERE fate <> 'too_late') AS n_final, count(*) FILTER (WHERE fate = 'too_late') AS n_too_late,
-        min(us) FILTER (WHERE fate <> 'too_late') AS first_event_us, max(us) FILTER (WHERE fate <> 'too_late') AS last_event_us FROM f GROUP BY 1, 2""",
+    "p6_hourly": f"""{_LATE}, t AS (SELECT *, fate <> 'too_late' AS let_in, fate = 'on_time' AS early FROM f),
+        g AS (SELECT *, CASE WHEN let_in THEN us - max(CASE WHEN let_in THEN us END) OVER w END AS gap, CASE WHEN early THEN us - max(CASE WHEN early THEN us END) OVER w END AS early_gap
+            FROM t WINDOW w AS (PARTITION BY stream_id, period_us ORDER BY us, change_time, batch_seq_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT stream_id, period_us, count(*) FILTER (WHERE early) AS n_provisional, count(*) FILTER (WHERE fate = 'correction') AS n_corrections,
+        count(*) FILTER (WHERE let_in) AS n_final, count(*) FILTER (WHERE NOT let_in) AS n_too_late, min(us) FILTER (WHERE let_in) AS first_event_us,
+        max(us) FILTER (WHERE let_in) AS last_event_us, coalesce(max(early_gap), 0) AS provisional_gap_us, coalesce(max(gap), 0) AS longest_gap_us FROM g GROUP BY 1, 2""",
 }
 SQL["p5_current_scalar"] = f"""WITH t AS ({_SCALAR}), l AS (SELECT lower("cdc$time") AS ct, pk, ck, max(v) AS v, max(s) AS s FROM scalar_scylla_cdc_log WHERE "cdc$operation" IN (1, 2) GROUP BY ALL)
     SELECT t.pk, t.ck, a.v, b.s FROM t LEFT JOIN l a ON a.ct = v_time AND a.pk = t.pk AND a.ck = t.ck LEFT JOIN l b ON b.ct = s_time AND b.pk = t.pk AND b.ck = t.ck"""
