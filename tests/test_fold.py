@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.timeuuid import EPOCH_TICKS
+from tidelog.model import MULTI_CK, TableSpec
 from tidelog.operators import fold
-from tidelog.operators.stabbing import cover_max
+from tidelog.operators.stabbing import LOWEST, cover_max, range_max
 
 MULTI = "`cdc$stream_id` binary, `cdc$time` string, `cdc$batch_seq_no` int, `cdc$operation` byte, `cdc$ttl` long, `cdc$deleted_v` boolean, pk long, c1 long, c2 long, v double, extra string"
 NOW = 2_000_000
@@ -100,7 +102,7 @@ def test_fold_is_the_state_machine_in_any_order(spark, seed):
     rows = rows + r.sample(rows, 60)
     r.shuffle(rows)
     df = spark.createDataFrame(rows, MULTI).repartition(3)
-    got = {(x.pk, x.c1, x.c2): x.v_time for x in fold.current_multi(df, NOW).collect()}
+    got = {(x.pk, x.c1, x.c2): x.v_time for x in fold.current(df, MULTI_CK, NOW).collect()}
     assert got == want and want
 
 
@@ -125,8 +127,8 @@ def test_late_write_loses_to_a_kept_tombstone(spark):
 def test_nulls_and_empty(spark):
     rows = [(b"s", None, 0, 2, None, None, 1, 1, 1, 1.0, ""), (b"s", timeuuid(1, 1), 0, None, None, None, 1, 1, 1, 1.0, ""), (b"s", timeuuid(1, 1), 0, 2, None, None, None, 1, 1, 1.0, ""), (b"s", timeuuid(1, 2), 0, 2, None, None, 1, None, None, 1.0, "")]
     df = spark.createDataFrame(rows, MULTI)
-    assert [(x.pk, x.c1, x.c2) for x in fold.current_multi(df, NOW).collect()] == [(1, None, None)]
-    assert fold.current_multi(df.limit(0), NOW).count() == 0
+    assert [(x.pk, x.c1, x.c2) for x in fold.current(df, MULTI_CK, NOW).collect()] == [(1, None, None)]
+    assert fold.current(df.limit(0), MULTI_CK, NOW).count() == 0
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 16])
@@ -140,12 +142,13 @@ def test_cover_max(spark, partitions):
             intervals.append((r.choice([0, 0, 1]), a, b, r.randrange(1000)))
     intervals += intervals[:10]
     p = spark.createDataFrame(points, "pk long, c1 long, c2 long, slab int")
-    point = "struct<c1: long, c2: long, side: int>"
-    iv = spark.createDataFrame(intervals, f"pk long, lo {point}, hi {point}, us long")
+    point = "struct<p0: struct<flag: int, value: long>, p1: struct<flag: int, value: long>, side: int>"
+    rows = [(pk, *[((0, x[0]), (0, x[1]), x[2]) for x in (a, b)], u) for pk, a, b, u in intervals]
+    iv = spark.createDataFrame(rows, f"pk long, lo {point}, hi {point}, us long")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = cover_max(p, iv, "best").collect()
+        got = cover_max(p, iv, "best", ["pk"], ["c1", "c2"]).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -153,5 +156,52 @@ def test_cover_max(spark, partitions):
     for x in got:
         hits = [] if None in (x.pk, x.c1, x.c2) else [u for pk, a, b, u in intervals if pk == x.pk and a < (x.c1, x.c2, 0) < b]
         assert x.best == (max(hits) if hits else None), x
-    assert cover_max(p, iv.limit(0), "best").where("best is not null").count() == 0
-    assert cover_max(p.limit(0), iv, "best").count() == 0
+    assert cover_max(p, iv.limit(0), "best", ["pk"], ["c1", "c2"]).where("best is not null").count() == 0
+    assert cover_max(p.limit(0), iv, "best", ["pk"], ["c1", "c2"]).count() == 0
+
+
+def test_range_max_is_a_loop():
+    r = np.random.default_rng(0)
+    for n in (1, 2, 7, 64, 100):
+        lo = r.integers(0, n, 40)
+        hi, w = np.minimum(n, lo + r.integers(0, n + 1, 40)), r.integers(-50, 50, 40)
+        want = [max((int(u) for a, b, u in zip(lo, hi, w) if a <= i < b), default=LOWEST) for i in range(n)]
+        assert range_max(n, lo, hi, w).tolist() == want
+    assert range_max(0, lo[:0], lo[:0], lo[:0]).tolist() == []
+
+
+def test_ranges_over_three_columns_of_other_types(spark):
+    """Text, date-like and number clustering columns, two partition columns, prefixes of every length."""
+    r = random.Random(5)
+    letters, rows, log = "abcd", [], []
+    schema = "`cdc$stream_id` binary, `cdc$time` string, `cdc$batch_seq_no` int, `cdc$operation` byte, `cdc$ttl` long, p string, q int, a string, b int, c string, v string"
+    for i in range(300):
+        rows.append((r.choice("xy"), r.randrange(2), r.choice(letters), r.randrange(4), r.choice(letters), i))
+        log.append((b"s", timeuuid(50, i), 0, 2, None, *rows[-1][:5], "v"))
+    ranges = []
+    for i in range(60):
+        p, q, fixed, depth = r.choice("xy"), r.randrange(2), (r.choice(letters), r.randrange(4), r.choice(letters)), r.randrange(3)
+        lo, hi = [list(fixed[:depth]) + [r.choice([None, r.randrange(4) if depth == 1 else r.choice(letters)])] for _ in range(2)]
+        lo, hi = [x + [None] * (3 - len(x)) for x in (lo, hi)]
+        so, eo, us, t = r.choice([5, 6]), r.choice([7, 8]), r.randrange(100), None
+        t = timeuuid(us, 1000 + i)
+        log += [(b"s", t, 0, so, None, p, q, *lo, None), (b"s", t, 1, eo, None, p, q, *hi, None)]
+        ranges.append((p, q, lo, hi, so, eo, us))
+    spec = TableSpec("t", ("p", "q"), ("a", "b", "c"), ("v",))
+    df = spark.createDataFrame(log, schema).withColumn("cdc$deleted_v", F.lit(False))
+    got = {(x.p, x.q, x.a, x.b, x.c) for x in fold.current(df, spec, 0).collect()}
+
+    def dead(row):
+        for p, q, lo, hi, so, eo, us in ranges:
+            if (p, q) != row[:2] or us < 50:
+                continue
+            d = max([i for i in range(3) if lo[i] is not None or hi[i] is not None], default=0)
+            key = row[2:5]
+            if any(key[i] != (lo[i] if lo[i] is not None else hi[i]) for i in range(d)):
+                continue
+            if (lo[d] is None or key[d] > lo[d] or (so == 5 and key[d] == lo[d])) and (hi[d] is None or key[d] < hi[d] or (eo == 7 and key[d] == hi[d])):
+                return True
+        return False
+
+    want = {x[:5] for x in rows if not dead(x)}
+    assert got == want and 0 < len(want) < len({x[:5] for x in rows})

@@ -58,7 +58,7 @@ def test_replica_is_the_batch_fold(spark, small, tmp_path):
     for i in (2, 0, 1):
         replica.apply(parts[i], (2, 0, 1).index(i))
         replica.apply(parts[i], (2, 0, 1).index(i))
-    want = fold.current_scalar(log, P5_NOW_US).select("pk", "ck", "v_time", "s_time").collect()
+    want = fold.current(log, SCALAR, P5_NOW_US).select("pk", "ck", "v_time", "s_time").collect()
     got = Replica(spark, str(tmp_path / "r"), SCALAR).rows(P5_NOW_US).select("pk", "ck", "v_time", "s_time").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
@@ -223,4 +223,4 @@ def test_command_line(spark, small, tmp_path, capsys, monkeypatch):
     assert len(lines) == spark.read.parquet(log).count()
     cli.main(["replicate", log, str(tmp_path / "r"), "--checkpoint", str(tmp_path / "q"), "--once", "--partition-key", "pk", "--clustering-key", "ck"])
     got = Replica(spark, str(tmp_path / "r"), SCALAR).rows(P5_NOW_US)
-    assert got.count() == fold.current_scalar(spark.read.parquet(log), P5_NOW_US).count()
+    assert got.count() == fold.current(spark.read.parquet(log), SCALAR, P5_NOW_US).count()

@@ -57,6 +57,11 @@ class TableSpec:
     columns: tuple[str, ...]
     collections: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def ranges(self) -> bool:
+        """Whether rows may be deleted by ranges of the clustering key."""
+        return bool(self.clustering_key)
+
     @property
     def primary_key(self) -> tuple[str, ...]:
         return self.partition_key + self.clustering_key

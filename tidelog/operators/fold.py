@@ -20,12 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import timeuuid as tu
+from tidelog.model import TableSpec
 from tidelog.operators.ordered import range_pairs
 from tidelog.operators.skew import salted_left
 from tidelog.operators.stabbing import cover_max
 
 NEVER = 2**63 - 1
-LOWEST, HIGHEST = -(2**63), 2**63 - 1
+LOWEST = -(2**63)
 
 
 def _cell(name: str) -> Column:
@@ -80,51 +81,64 @@ def with_partition_tombstones(rows: DataFrame, tombstones: DataFrame, pk: Sequen
     return salted_left(rows, tombstones, pk, ck)
 
 
-def paired_ranges(changes: DataFrame, stream: Sequence[str], order: str) -> DataFrame:
+def paired_ranges(changes: DataFrame, stream: Sequence[str], order: str, pk: Sequence[str], ck: Sequence[str]) -> DataFrame:
     """Range deletes: each end (7, 8) with the start (5, 6) just before it among the range rows of its ``stream`` columns.
 
     A later start replaces an earlier one, a start without an end and an end without a start give nothing. One batch of
     writes is one group, which the database keeps small; copies must have been removed.
     """
-    rows = changes.where(F.col("us").isNotNull() & F.col("pk").isNotNull()).select(*stream, order, "op", "pk", "c1", "c2", "us")
-    return range_pairs(rows, stream, [order], ["pk", "c1", "c2"]).where(F.col("start.pk") == F.col("pk"))
+    known = F.col("us").isNotNull()
+    same = F.lit(True)
+    for c in pk:
+        known = known & F.col(f"`{c}`").isNotNull()
+        same = same & (F.col(f"start.`{c}`") == F.col(f"`{c}`"))
+    rows = changes.where(known).select(*stream, order, "op", *pk, *ck, "us")
+    return range_pairs(rows, stream, [order], [*pk, *ck]).where(same)
 
 
-def range_bounds(pairs: DataFrame) -> DataFrame:
-    """(pk, lo1, lo2, lo_side, hi1, hi2, hi_side, us): each range delete as an open interval of (c1, c2, side) points.
+def range_bounds(pairs: DataFrame, pk: Sequence[str], ck: Sequence[str]) -> DataFrame:
+    """(``pk``, lo, hi, us): each range delete as an open interval of places as ``stabbing.place`` has them.
 
-    A row lies at side 0; bounds lie at -1 (just before) or 1 (just after), so nothing ties with a row. A range over c1
-    (no c2 at either bound) and one over c2 at equal c1 are both intervals of this order.
+    A range fixes the leading clustering columns up to the last one that either bound names, and bounds that one; a bound that
+    doesn't name it is open. A bound lies just before (flag or side -1) or just after (1) all rows that share its columns, so
+    none ties with a row. Bounds that differ before their last column are no range, and neither are empty ones.
     """
-    s1, s2, e1, e2 = F.col("start.c1"), F.col("start.c2"), F.col("c1"), F.col("c2")
-    from_incl, to_incl = F.col("start.op") == 5, F.col("op") == 7
-    whole = s2.isNull() & e2.isNull()
-    c1 = F.coalesce(s1, e1)
-
-    def point(a: Column, b: Column, side: Column) -> Column:
-        return F.struct(a.alias("c1"), b.alias("c2"), side.cast("int").alias("side"))
-
-    low, high = F.lit(LOWEST).cast("long"), F.lit(HIGHEST).cast("long")
-    lo = (
-        F.when(whole & s1.isNull(), point(low, low, F.lit(-1)))
-        .when(whole & from_incl, point(s1, low, F.lit(-1)))
-        .when(whole, point(s1, high, F.lit(1)))
-        .when(s2.isNull(), point(c1, low, F.lit(-1)))
-        .otherwise(point(c1, s2, F.when(from_incl, -1).otherwise(1)))
-    )
-    hi = (
-        F.when(whole & e1.isNull(), point(high, high, F.lit(1)))
-        .when(whole & to_incl, point(e1, high, F.lit(1)))
-        .when(whole, point(e1, low, F.lit(-1)))
-        .when(e2.isNull(), point(c1, high, F.lit(1)))
-        .otherwise(point(c1, e2, F.when(to_incl, 1).otherwise(-1)))
-    )
-    sound = whole | (F.coalesce(s1, e1).isNotNull() & (F.coalesce(s1, e1) == F.coalesce(e1, s1)))
-    return (
-        pairs.where(sound)
-        .select("pk", lo.alias("lo"), hi.alias("hi"), "us")
-        .where(F.col("lo") < F.col("hi"))
-    )
+    m = len(ck)
+    start, end = [F.col(f"start.`{c}`") for c in ck], [F.col(f"`{c}`") for c in ck]
+    none = [F.lit(None).cast(pairs.schema[c].dataType) for c in ck]
+
+    def bound(d: int, value: Column, below: bool, included: Column) -> Column:
+        """The bound at column ``d``: open where ``value`` is null."""
+        outer, inner = (-1, 1) if below else (1, -1)
+        flag = F.when(included, outer).otherwise(inner)
+
+        def point(depth: int, given: Sequence[Column], mark: Column) -> Column:
+            parts = [
+                F.struct((F.lit(0) if i < depth else mark).cast("int").alias("flag"), (given[i] if i < depth else none[i]).alias("value")).alias(f"p{i}")
+                for i in range(m)
+            ]
+            return F.struct(*parts, mark.cast("int").alias("side"))
+
+        fixed = [F.coalesce(s, e) for s, e in zip(start[:d], end[:d], strict=True)]
+        return F.when(value.isNull(), point(d, fixed, F.lit(outer))).otherwise(point(d + 1, [*fixed, value], flag))
+
+    sound, lo, hi = F.lit(None).cast("boolean"), None, None
+    for d in reversed(range(m)):
+        here = start[d].isNotNull() | end[d].isNotNull() if d else F.lit(True)
+        agree = F.lit(True)
+        for s, e in zip(start[:d], end[:d], strict=True):
+            agree = agree & (F.coalesce(s, e) == F.coalesce(e, s))
+        one_lo, one_hi = bound(d, start[d], True, F.col("start.op") == 5), bound(d, end[d], False, F.col("op") == 7)
+        lo = F.when(here, one_lo) if lo is None else lo.when(here, one_lo)
+        hi = F.when(here, one_hi) if hi is None else hi.when(here, one_hi)
+        sound = F.when(here, agree) if d == m - 1 else sound.when(here, agree)
+    return pairs.where(F.coalesce(sound, F.lit(False))).select(*pk, lo.alias("lo"), hi.alias("hi"), "us").where(F.col("lo") < F.col("hi"))
+
+
+def range_tombstones(changes: DataFrame, pk: Sequence[str], ck: Sequence[str]) -> DataFrame:
+    """(``pk``, lo, hi, us) of the range deletes among decoded changes, copies counting once."""
+    ranges = changes.where("op between 5 and 8").dropDuplicates(["stream_id", "change_time", "seq"])
+    return range_bounds(paired_ranges(ranges, ["stream_id", "change_time"], "seq", pk, ck), pk, ck)
 
 
 def live_rows(states: DataFrame, columns: Sequence[str], now_us: int) -> DataFrame:
@@ -160,22 +174,13 @@ def decoded(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).withColumn("expire_us", F.when(F.col("ttl").isNull(), F.lit(NEVER)).otherwise(F.col("us") + F.col("ttl") * 1_000_000))
 
 
-def current_scalar(log: DataFrame, now_us: int) -> DataFrame:
-    """The rows of scalar(pk, ck, v, s) that exist at ``now_us``."""
-    changes = decoded(log, ["pk", "ck", "v", "s"])
-    states = row_states(changes, ["pk"], ["ck"], ["v", "s"])
-    states = with_partition_tombstones(states, partition_tombstones(changes, ["pk"]), ["pk"], ["ck"])
-    states = states.withColumn("deleted_us", F.greatest("row_deleted_us", "partition_deleted_us"))
-    return live_rows(states, ["v", "s"], now_us)
-
-
-def current_multi(log: DataFrame, now_us: int) -> DataFrame:
-    """The rows of multi_ck(pk, c1, c2, v) that exist at ``now_us``."""
-    changes = decoded(log, ["pk", "c1", "c2", "v"])
-    states = row_states(changes, ["pk"], ["c1", "c2"], ["v"])
-    states = with_partition_tombstones(states, partition_tombstones(changes, ["pk"]), ["pk"], ["c1", "c2"])
-    ranges = changes.where("op between 5 and 8").dropDuplicates(["stream_id", "change_time", "seq"])
-    bounds = range_bounds(paired_ranges(ranges, ["stream_id", "change_time"], "seq"))
-    states = cover_max(states, bounds, "range_deleted_us")
-    states = states.withColumn("deleted_us", F.greatest("row_deleted_us", "partition_deleted_us", "range_deleted_us"))
-    return live_rows(states, ["v"], now_us)
+def current(log: DataFrame, spec: TableSpec, now_us: int) -> DataFrame:
+    """The rows of the table that exist at ``now_us``, from its whole log; ranges only where there are clustering columns."""
+    pk, ck, columns = spec.partition_key, spec.clustering_key, spec.columns
+    changes = decoded(log, [*spec.primary_key, *columns])
+    states = with_partition_tombstones(row_states(changes, pk, ck, columns), partition_tombstones(changes, pk), pk, ck)
+    deleted = ["row_deleted_us", "partition_deleted_us"]
+    if spec.ranges:
+        states = cover_max(states, range_tombstones(changes, pk, ck), "range_deleted_us", pk, ck, most_rows=log.count())
+        deleted.append("range_deleted_us")
+    return live_rows(states.withColumn("deleted_us", F.greatest(*deleted)), columns, now_us)

@@ -1,103 +1,132 @@
 """For each point the greatest weight of the intervals that cover it, without forming pairs.
 
-Points and interval ends are sorted together by (pk, c1, c2, side) and cut into slabs by range partitioning, which cuts
-inside a pk as readily as between two, so a pk with a third of all rows is spread over a third of the slabs. An interval
-acts within the slabs of its two ends; all slabs between are covered whole and take part only as one maximum
-each. Within a slab one sweep in sorted order answers all points: O(n log n), never points times intervals.
+Points and interval ends are sorted together by partition key and place and cut into slabs by range partitioning, which
+cuts inside a partition key as readily as between two, so one with a third of all rows is spread over a third of the slabs.
+An interval acts within the slabs of its two ends; a slab that lies between them has one partition key only and is covered
+whole, so of all intervals over it one maximum takes part. Slabs are as many as rows need, ``SLAB_ROWS`` each.
+
+Within a slab points are numbered in order and intervals are ranges of numbers. A range is the union of two ranges of the
+same power of two, so maxima are kept per power of two and handed down, halved, to the next smaller one: O(n log n) in
+array steps, with any types of keys, as only Spark compares these.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.session import shared_checkpoint
+from tidelog.session import fresh, shared_checkpoint
+
+POINT, OPEN, CLOSE, WHOLE = 0, 1, 2, 3
+SLAB_ROWS = 400_000
+LOWEST = -(2**63)
+
 
-POINT, OPEN, CLOSE = 0, 1, 2
+def place(df: DataFrame, ck: Sequence[str]) -> Column:
+    """The place of a row among the interval ends of ``fold.range_bounds``: flag 0 with each clustering value, side 0."""
+    parts = [F.struct(F.lit(0).alias("flag"), F.col(c).alias("value")).alias(f"p{i}") for i, c in enumerate(ck)]
+    return F.struct(*parts, F.lit(0).alias("side"))
 
 
-def cover_max(rows: DataFrame, intervals: DataFrame, name: str) -> DataFrame:
-    """``rows`` (pk, c1, c2, ...) with ``name``: the greatest ``us`` of the ``intervals`` (pk, lo, hi, us) over (c1, c2).
+def cover_max(rows: DataFrame, intervals: DataFrame, name: str, pk: Sequence[str], ck: Sequence[str], most_rows: int | None = None) -> DataFrame:
+    """``rows`` (``pk``, ``ck``, ...) with ``name``: the greatest ``us`` of the ``intervals`` (``pk``, lo, hi, us) over ``ck``.
 
-    ``lo`` and ``hi`` are structs (c1, c2, side) with side -1 or 1, rows lie at side 0. Null without an interval; a row
-    with a null pk, c1 or c2 lies in none. No intervals at all give nulls, without a shuffle of the rows.
+    Null without an interval; a row with a null in ``pk`` or ``ck`` lies in none. No intervals at all give nulls, without a
+    shuffle of the rows. ``most_rows`` is a bound of rows and interval ends, if the caller knows one; else they are counted.
     """
     if intervals.isEmpty():
         return rows.withColumn(name, F.lit(None).cast("long"))
-    payload = F.struct(*[f"`{c}`" for c in rows.columns])
+    spark = rows.sparkSession
+    keys = [f"k{i}" for i in range(len(pk))]
     points = rows.select(
-        "pk", F.struct("c1", "c2", F.lit(0).alias("side")).alias("at"), F.lit(POINT).alias("kind"),
-        F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("id"), payload.alias("row"),
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(pk, keys, strict=True)], place(rows, ck).alias("at"), F.lit(POINT).alias("kind"),
+        F.lit(None).cast("long").alias("us"), F.lit(None).cast("long").alias("id"), F.struct(*[f"`{c}`" for c in rows.columns]).alias("row"),
     )
     # Equal intervals are one; an id that follows from the interval survives a task's second run.
-    ends = intervals.groupBy("pk", "lo", "hi").agg(F.max("us").alias("us")).withColumn("id", F.xxhash64("pk", "lo", "hi"))
-    marks = ends.select(
-        "pk", "us", "id",
-        F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(OPEN).alias("kind")), F.struct(F.col("hi").alias("at"), F.lit(CLOSE).alias("kind")))).alias("m"),
-        F.col("lo"), F.col("hi"),
-    ).select("pk", "m.at", "m.kind", "us", "id", "lo", "hi")
+    ends = intervals.groupBy(*pk, "lo", "hi").agg(F.max("us").alias("us")).withColumn("id", F.xxhash64(*pk, "lo", "hi"))
+    both_ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(OPEN).alias("kind")), F.struct(F.col("hi").alias("at"), F.lit(CLOSE).alias("kind")))
+    marks = ends.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(pk, keys, strict=True)], "us", "id", F.explode(both_ends).alias("m"))
+    marks = marks.select(*keys, "m.at", "m.kind", "us", "id")
     both = points.unionByName(marks, allowMissingColumns=True)
-    slabs = shared_checkpoint(
-        both.repartitionByRange("pk", "at").sortWithinPartitions("pk", "at").withColumn("slab", F.spark_partition_id())
-    )
-    m = slabs.where(F.col("kind") != POINT)
-    spans = m.groupBy("pk", "lo", "hi").agg(F.min("slab").alias("first"), F.max("slab").alias("last"), F.max("us").alias("us"), F.max("id").alias("id"))
-    crossing = spans.where("last > first")
-    entering = crossing.select(F.col("last").alias("slab"), "pk", "us", "id", F.lit(-1).alias("kind"))
+    most_rows = both.count() if most_rows is None else most_rows
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most_rows // SLAB_ROWS))
+    # The id splits ends that share a place.
+    slabs = both.repartitionByRange(n, *keys, "at", "id").sortWithinPartitions(*keys, "at", "id")
+    slabs = shared_checkpoint(slabs.select("*", F.spark_partition_id().alias("slab"), F.monotonically_increasing_id().alias("pos")))
+    spans = slabs.where(F.col("kind") != POINT).groupBy("id").agg(F.min("slab").alias("first"), F.max("slab").alias("last"), F.max("us").alias("us"))
     whole = (
-        crossing.where("last > first + 1")
-        .select("pk", "us", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)).alias("slab"))
-        .groupBy("slab", "pk")
+        spans.where("last > first + 1")
+        .select("us", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)).alias("slab"))
+        .groupBy("slab")
         .agg(F.max("us").alias("us"))
-        .select("slab", "pk", "us", F.lit(None).cast("long").alias("id"), F.lit(-2).alias("kind"))
-    )
-    work = slabs.select("slab", "pk", "at", "kind", "us", "id", "row").unionByName(
-        entering.unionByName(whole), allowMissingColumns=True
+        .select("slab", "us", F.lit(WHOLE).alias("kind"))
     )
-    fields = [*rows.schema.fields, T.StructField(name, T.LongType())]
-    out = T.StructType(fields)
-    return work.groupBy("slab").applyInArrow(_sweeper(name), out)
+    work = slabs.select("slab", "pos", *keys, "kind", "us", "id", "row").unionByName(whole, allowMissingColumns=True)
+    found = fresh("cover_found", rows)
+    swept = work.groupBy("slab").applyInArrow(_sweeper(found, len(keys)), T.StructType([*rows.schema.fields, T.StructField(found, T.LongType())]))
+    whole_key = F.lit(True)
+    for c in (*pk, *ck):
+        whole_key = whole_key & F.col(f"`{c}`").isNotNull()
+    return swept.select(*[f"`{c}`" for c in rows.columns], F.when(whole_key, F.col(found)).alias(name))
 
 
-def _sweeper(name: str):
-    def sweep(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        at = table["at"].combine_chunks()
-        keys = [table["pk"], *at.flatten(), table["kind"]]
-        low = -(2**63)
-        pk, c1, c2, side, kind = (_numbers(k, low) for k in keys)
-        us, ident = _numbers(table["us"], low), _numbers(table["id"], 0)
-        none = np.asarray(keys[0].is_null()) | ((kind == POINT) & (np.asarray(keys[1].is_null()) | np.asarray(keys[2].is_null())))
-        # Of one pk, what came in from earlier slabs goes first; then by place; a row never shares a place with an end.
-        order = np.lexsort((side, c2, c1, kind >= 0, pk))
-        best = np.full(table.num_rows, low, dtype=np.int64)
-        here, floor, heap, closed = None, low, [], set()
-        for i, p, k, u, n in zip(*(x[order].tolist() for x in (np.arange(len(pk)), pk, kind, us, ident)), strict=True):
-            if p != here:
-                here, floor, heap, closed = p, low, [], set()
-            if k == POINT:
-                while heap and heap[0][1] in closed:
-                    heapq.heappop(heap)
-                best[i] = max(floor, -heap[0][0] if heap else low)
-            elif k == CLOSE:
-                closed.add(n)
-            elif k == -2:
-                floor = max(floor, u)
-            else:
-                heapq.heappush(heap, (-u, n))
-        is_point = kind == POINT
-        rows = table["row"].combine_chunks().filter(pa.array(is_point))
-        result = pa.Table.from_struct_array(rows)
-        found = best[is_point]
-        return result.append_column(name, pa.array(found, mask=(found == low) | none[is_point]))
+def range_max(n: int, lo: np.ndarray, hi: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of each number below ``n`` the greatest weight of the ranges ``lo <= i < hi`` over it, ``LOWEST`` without one."""
+    some = hi > lo
+    lo, hi, weight = lo[some], hi[some], weight[some]
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1 if len(lo) else np.zeros(0, dtype=np.int64)
+    best = np.full(n, LOWEST, dtype=np.int64)
+    for k in range(int(level.max(initial=0)), -1, -1):
+        half = 1 << k
+        if half < n:
+            lower = best.copy()
+            np.maximum(lower[half:], best[:-half], out=lower[half:])
+            best = lower
+        at = level == k
+        np.maximum.at(best, lo[at], weight[at])
+        np.maximum.at(best, hi[at] - half, weight[at])
+    return best
 
-    return sweep
+
+def _runs(table: pa.Table, n_keys: int) -> np.ndarray:
+    """The number of the partition key's run that each row of the sorted table is in."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    for i in range(n_keys):
+        c = table[f"k{i}"].combine_chunks()
+        if len(c) > 1:
+            new[1:] |= pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
 
 
-def _numbers(column, null: int) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else _numbers(column.combine_chunks(), null)
+def _sweeper(name: str, n_keys: int):
+    def sweep(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        floor = pc.max(table["us"].filter(pa.array(kind == WHOLE))).as_py()
+        table = table.filter(pa.array(kind != WHOLE)).sort_by("pos")
+        kind = table["kind"].to_numpy()
+        us, ident = (table[c].fill_null(0).to_numpy() for c in ("us", "id"))
+        point = kind == POINT
+        before = np.cumsum(point) - point
+        run = _runs(table, n_keys)
+        edges = np.concatenate([np.flatnonzero(np.diff(run, prepend=-1)), [len(run)]])
+        counts = np.concatenate([before, [int(point.sum())]])
+        begin, end = counts[edges[:-1]][run], counts[edges[1:]][run]
+        opens, closes = np.flatnonzero(kind == OPEN), np.flatnonzero(kind == CLOSE)
+        _, a, b = np.intersect1d(ident[opens], ident[closes], assume_unique=True, return_indices=True)
+        pairs = opens[a], closes[b]
+        leaving, entering = np.delete(opens, a), np.delete(closes, b)
+        lo = np.concatenate([before[pairs[0]], before[leaving], begin[entering]])
+        hi = np.concatenate([before[pairs[1]], end[leaving], before[entering]])
+        best = range_max(int(point.sum()), lo, hi, np.concatenate([us[pairs[0]], us[leaving], us[entering]]))
+        if floor is not None:
+            best = np.maximum(best, floor)
+        result = pa.Table.from_struct_array(table["row"].filter(pa.array(point)).combine_chunks())
+        return result.append_column(name, pa.array(best, mask=best == LOWEST))
+
+    return sweep

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import timeuuid as tu
+from tidelog.model import MULTI_CK, SCALAR
 from tidelog.operators import asof, dedup, fold, incremental, lateness, skew
 from tidelog.operators.changes import KEYS, arrived_us, with_keys
 from tidelog.plans.tables import multi_log, scalar_log, table
@@ -84,17 +85,17 @@ def p4_generation_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scalar = fold.current_scalar(scalar_log(spark, sf_dir), P5_NOW_US).select(
+    scalar = fold.current(scalar_log(spark, sf_dir), SCALAR, P5_NOW_US).select(
         F.lit("scalar").alias("base_table"), "pk", F.col("ck").alias("c1"), F.lit(0).cast("long").alias("c2"), "v_time", "s_time"
     )
-    multi = fold.current_multi(multi_log(spark, sf_dir), P5_NOW_US).select(
+    multi = fold.current(multi_log(spark, sf_dir), MULTI_CK, P5_NOW_US).select(
         F.lit("multi_ck").alias("base_table"), "pk", "c1", "c2", "v_time", F.lit("").alias("s_time")
     )
     return scalar.unionByName(multi)
 
 
 def p5_current_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fold.current_scalar(scalar_log(spark, sf_dir), P5_NOW_US)
+    rows = fold.current(scalar_log(spark, sf_dir), SCALAR, P5_NOW_US)
     return rows.select("pk", "ck", *[F.when(F.col(f"{c}_time") != "", F.col(f"{c}.value")).alias(c) for c in ("v", "s")])
 
 

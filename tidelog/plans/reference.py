@@ -213,9 +213,7 @@ def range_pairs_across_time(spark, sf_dir):
 def range_delete_apply(spark, sf_dir):
     changes = fold.decoded(multi_log(spark, sf_dir), ["pk", "c1", "c2", "v"])
     rows = fold.row_states(changes, ["pk"], ["c1", "c2"], ["v"])
-    ranges = changes.where("op between 5 and 8").dropDuplicates(["stream_id", "change_time", "seq"])
-    bounds = fold.range_bounds(fold.paired_ranges(ranges, ["stream_id", "change_time"], "seq"))
-    rows = fold.cover_max(rows, bounds, "range_deleted_us")
+    rows = fold.cover_max(rows, fold.range_tombstones(changes, ["pk"], ["c1", "c2"]), "range_deleted_us", ["pk"], ["c1", "c2"], changes.count())
     dead = F.col("range_deleted_us")
     return rows.where((~F.col("v.gone")) & (dead.isNull() | (dead < F.col("v.us")))).select("pk", "c1", "c2", *_values(("v",)))
 
