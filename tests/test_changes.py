@@ -60,6 +60,20 @@ def test_vnode_tasks(spark, ring, streams, want):
     got = vnodes.tasks(vnodes.stream_vnodes(s, r)).collect()
     assert {(x.vnode_token, x.wraparound): b"".join(map(bytes, x.streams)).decode() for x in got} == want
     assert all(x.n_streams == len(x.streams) and x.first_stream == bytes(x.streams[0]).hex().upper() for x in got)
+    merged = vnodes.tasks(vnodes.stream_vnodes(s, r, max_ring=-1)).collect()
+    assert sorted(map(str, merged)) == sorted(map(str, got))
+
+
+def test_long_ring_is_merged(spark):
+    import random
+
+    x = random.Random(1)
+    ring = [x.randrange(-(2**63), 2**63) for _ in range(300)] + [-(2**63), 5, 5, None]
+    streams = [(bytes([i % 256, i // 256]), x.choice([x.randrange(-(2**63), 2**63), x.choice(ring[:-1])])) for i in range(900)] + [(b"n", None)]
+    r = spark.createDataFrame([(t,) for t in ring], "token long")
+    s = spark.createDataFrame(streams, "stream_id binary, token long")
+    one, two = (sorted(map(tuple, vnodes.stream_vnodes(s, r, max_ring=m).collect())) for m in (10**6, 10))
+    assert one == two and len(one) == 900
 
 
 def test_generations(spark):

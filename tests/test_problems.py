@@ -72,10 +72,29 @@ def test_quantiles_are_exact(spark, bins):
         assert got[k] == (len(values), s[0] if s else None, s[-1] if s else None, *q), k
 
 
+def test_keys_under_the_share_but_over_the_rows_are_refined(spark, monkeypatch):
+    rows = [(f"k{i % 30}", (i * 7919) % 1009) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(4)
+    calls = []
+    refine = skew._refine
+    monkeypatch.setattr(skew, "_refine", lambda *a: calls.append(len(a[3])) or refine(*a))
+    monkeypatch.setattr(skew, "KEYS_A_PASS", 25)
+    got = {x.k: (x.n_rows, x.q0) for x in skew.per_key(df, "k", "v", (0.5,), hot_share=0.5, hot_rows=50).collect()}
+    by: dict = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    assert got == {k: (len(v), sorted(v)[(len(v) + 1) // 2 - 1]) for k, v in by.items()}
+    assert calls[:2] == [25, 5]
+
+
 def test_heavy_keys_and_empty(spark):
     df = spark.createDataFrame([("a",)] * 5 + [(None,)] * 3 + [("b",)] * 2, "k string")
     assert {(r.k, r.n_rows) for r in skew.heavy_keys(df, "k", 0.3).collect()} == {("a", 5), (None, 3)}
     assert skew.heavy_keys(df.limit(0), "k", 0.3).count() == 0
+    many = spark.createDataFrame([(i % 1000 if i % 3 else -1,) for i in range(9000)], "k long")
+    for passes in (1, 2, 3):
+        assert {tuple(r) for r in skew.heavy_keys(many, "k", 0.02, passes).collect()} == {(-1, 3000)}
+    assert skew.heavy_keys(many, "k", 1e-5).count() == many.distinct().count()
     empty = spark.createDataFrame([], "k string, v long")
     assert skew.per_key(empty, "k", "v").count() == 0
 

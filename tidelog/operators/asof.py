@@ -9,7 +9,7 @@ from that root.
 Trees are numpy arrays of nodes, and a batch of events descends together, one array step per level.
 
 Two routes with the same result: facts counted at no more than ``max_facts`` are built into one tree that is sent to
-all executors, and events aren't shuffled; above that, facts and events are shuffled by entity, each task builds
+all executors, built once, and events aren't shuffled; above that, facts and events are shuffled by entity, each task builds
 the tree of one shard at a time and streams its events past it, and entities with over ``HOT_SHARE`` of the events are
 salted, with their facts repeated per salt.
 
@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.operators.skew import heavy_keys
-from tidelog.session import within
+from tidelog.session import small_side, within
 
-MAX_FACTS = 200_000
+MAX_FACTS = 50_000
+#: Facts of a shard, on average.
+SHARD_FACTS = 10_000
 HOT_SHARE = 0.001
+#: Generation starts up to here are broadcast, two numbers each; more are joined by hash.
+MAX_STARTS = 1_000_000
 SALTS = 64
 
 
@@ -63,6 +67,8 @@ class PersistentTree:
         self.entity, self.valid, self.fact, self.left, self.right = (
             np.array(x, dtype=np.int64) for x in (self._entity, self._valid, self._fact, self._left, self._right)
         )
+        # Only the arrays are needed from here on, here and where the tree is sent.
+        del self._entity, self._valid, self._fact, self._left, self._right, self._priority
 
     def _node(self, entity: int, valid: int, fact: int, left: int, right: int, priority: int) -> int:
         for column, x in zip(
@@ -175,11 +181,11 @@ def as_known(
     out = T.StructType([*events.schema.fields, *[facts.schema[a] for a in attributes]])
     names = out.fieldNames()
     if within(facts, max_facts):
-        table = facts.toArrow()
-        sent = events.sparkSession.sparkContext.broadcast(table)
+        # Built here, sent as arrays, and unpacked once per Python worker.
+        sent = events.sparkSession.sparkContext.broadcast(_Index(facts.toArrow()))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = _Index(sent.value)
+            index = sent.value
             for b in batches:
                 yield from index.attach(pa.Table.from_batches([b]), entity, time).select(names).to_batches()
 
@@ -207,9 +213,9 @@ def _sharded(
         "f",
     )
     both = f.unionByName(e, allowMissingColumns=True)
-    # A shard is small enough for one tree: 16 per shuffle partition.
-    shard = F.pmod(F.xxhash64("shard_entity", "salt"), F.lit(16 * n)).alias("shard")
-    both = both.select(shard, "kind", "e", "f").repartition(n, "shard").sortWithinPartitions("shard", "kind")
+    shards = max(16 * n, -(-facts.count() // SHARD_FACTS))
+    shard = F.pmod(F.xxhash64("shard_entity", "salt"), F.lit(shards)).alias("shard")
+    both = both.select(shard, "kind", "e", "f").repartition(min(shards, 8 * n), "shard").sortWithinPartitions("shard", "kind")
     names = out.fieldNames()
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,17 +254,10 @@ def membership_facts(generations: DataFrame, time_us) -> DataFrame:
     # The list of generations is as long as the topology's history; numbering it needs no partitioning.
     starts = rows.select("start").distinct().withColumn("i", F.row_number().over(Window.orderBy("start")))
     members = rows.select("start", F.explode("streams").alias("entity")).where("entity is not null").distinct()
-    starts = _checked(starts)
+    starts = small_side(starts, MAX_STARTS)
     members = members.join(starts, "start").select("entity", "i", "start")
     was = members.select("entity", (F.col("i") + 1).alias("i"))
     enter = members.join(was, ["entity", "i"], "left_anti").select("entity", "start", F.lit(True).alias("listed"))
     gone = was.join(members.select("entity", "i"), ["entity", "i"], "left_anti")
     leave = gone.join(starts, "i").select("entity", "start", F.lit(False).alias("listed"))
     return enter.unionByName(leave).select("entity", F.col("start").alias("valid"), F.col("start").alias("known"), "listed")
-
-
-def _checked(starts: DataFrame) -> DataFrame:
-    """Generation starts for broadcast: one row of two numbers each, counted to be at most a million."""
-    if not within(starts, 1_000_000):
-        raise ValueError("more than a million generations")
-    return F.broadcast(starts)

@@ -3,13 +3,17 @@
 Counts, extremes and histograms are mergeable, so they're added up in the map tasks and a key reaches the
 shuffle as one small row per map task, however many rows it has.
 
-Exact quantiles: for the keys with more than ``hot_share`` of all rows, the interval that holds a quantile is
-cut into bins again and again, each pass counting per (key, quantile, bin), until a bin is one value wide.
-No value of a hot key is ever gathered. All other keys are below ``hot_share`` each, so ranking them in a
-sorted shuffle partition is balanced, and done in one pass.
+Heavy keys are found by the same refinement over hashes of the keys: bins that hold too few rows for a heavy key are dropped,
+the rest are cut again, and only keys in the few bins that remain are counted one by one. So however many keys there are, the
+shuffle carries bins.
 
-There are at most ``1 / hot_share`` hot keys; that is the proven bound of what is broadcast and of what the
-driver holds. Nulls: a null key is a key; null values are left out of ranks, and a key with no value has a null
+Exact quantiles: for a hot key the interval that holds a quantile is cut into bins again and again, each pass counting
+per (key, quantile, bin), until a bin is one value wide. No value of a hot key is ever gathered. A key is hot if it has more
+than ``hot_share`` of all rows or more than ``hot_rows`` rows, so all others fit a sorted shuffle partition, where they are ranked
+in one pass.
+
+There are at most ``1 / hot_share`` plus one per ``hot_rows`` rows hot keys; that is the proven bound of what the driver holds,
+and of it ``KEYS_A_PASS`` at a time are broadcast. Nulls: a null key is a key; null values are left out of ranks, and a key with no value has a null
 quantile. Ties don't matter: a quantile is the value at position ceil(q * n), at least 1.
 """
 
@@ -21,9 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.session import fresh
+from tidelog.session import fresh, small_side
 
 HOT_SHARE = 0.001
+HOT_ROWS = 5_000_000
+#: Hot keys refined in one pass over the rows.
+KEYS_A_PASS = 20_000
+#: Bits of a key's hash that one pass over the hashes resolves.
+HASH_BITS = 16
 #: Bins of one pass over all hot keys and quantiles; fewer keys get finer ones and need fewer passes.
 MOST_BINS = 4_000_000
 
@@ -39,12 +48,27 @@ def key_counts(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     )
 
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """(key, n_rows) of the keys with at least ``share`` of all rows; at most 1 / share rows."""
-    counts = key_counts(df, key)
-    total = counts.agg(F.sum("n_rows").alias("total"))
-    # The total is one row; a scalar, not a join of rows.
-    return counts.where(F.col("n_rows") >= F.lit(share) * total.scalar()).select(key, "n_rows")
+def heavy_keys(df: DataFrame, key: str, share: float, passes: int = 2) -> DataFrame:
+    """(key, n_rows) of the keys with at least ``share`` of all rows; at most 1 / share rows.
+
+    Each pass counts the rows per bin of ``HASH_BITS`` more bits of the key's hash, within the bins that are left. A bin with
+    fewer rows than a heavy key has is dropped, so at most 1 / share are left, known to the driver.
+    """
+    name, bins = fresh("key_hash", df), fresh("hash_bin", df)
+    rows = df.select(key, F.xxhash64(key).alias(name))
+    left: list[int] | None = None
+    total = df.count()
+    least = max(1, share * total)
+    for i in range(1, passes + 1):
+        prefix = F.shiftrightunsigned(F.col(name), 64 - i * HASH_BITS)
+        if left is not None:
+            rows = rows.where(F.shiftrightunsigned(F.col(name), 64 - (i - 1) * HASH_BITS).isin(left))
+        found = rows.groupBy(prefix.alias(bins)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        left = [r[0] for r in found.select(bins).collect()]
+        if not left:
+            break
+    kept = rows.where(prefix.isin(left) if left else F.lit(False))
+    return kept.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
 
 
 def _ranks(state: list[dict], quantiles: Sequence[float]) -> list[dict]:
@@ -97,6 +121,7 @@ def per_key(
     value: str,
     quantiles: Sequence[float] = (0.5, 0.9),
     hot_share: float = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
     bins: int | None = None,
 ) -> DataFrame:
     """(key, n_rows, least, greatest, q0, q1, ...) of each key: complete, exact, and balanced.
@@ -105,14 +130,15 @@ def per_key(
     """
     df = df.select(key, value)
     counts = key_counts(df, key, value)
-    total = counts.agg(F.sum("n_rows")).first()[0] or 0
-    hot_rows = counts.where(F.col("n_rows") > hot_share * total)
-    hot = [r.asDict() | {"key": _plain(r[key])} for r in hot_rows.collect()]  # at most 1 / hot_share rows
+    # Counting the rows reads no column of a Parquet table.
+    over = min(hot_rows, hot_share * df.count())
+    hot = [r.asDict() | {"key": _plain(r[key])} for r in counts.where(F.col("n_rows") > over).collect()]  # bound: see the module
     spark = df.sparkSession
     done = [x for x in _ranks([h for h in hot if h["n_values"]], quantiles)]
     live = [x for x in done if x["lo"] < x["hi"]]
     while live:
-        live = [x for x in _refine(df, key, value, live, bins) if x["lo"] < x["hi"]]
+        chunks = [live[i : i + KEYS_A_PASS] for i in range(0, len(live), KEYS_A_PASS)]
+        live = [x for c in chunks for x in _refine(df, key, value, c, bins) if x["lo"] < x["hi"]]
     names = [f"q{i}" for i in range(len(quantiles))]
     by = {(x["key"], x["q"]): x["lo"] for x in done}
     kind = df.schema[key].dataType
@@ -124,7 +150,7 @@ def per_key(
         for h in hot
     ]
     hot_result = spark.createDataFrame(rows, result)
-    hot_keys = F.broadcast(spark.createDataFrame([(h["key"],) for h in hot], T.StructType([T.StructField("hot_key", kind)])))
+    hot_keys = small_side(spark.createDataFrame([(h["key"],) for h in hot], T.StructType([T.StructField("hot_key", kind)])), KEYS_A_PASS)
     cold = df.join(hot_keys, df[key].eqNullSafe(F.col("hot_key")), "left_anti")
     w = Window.partitionBy(key)
     n = F.count(value).over(w)
