@@ -13,7 +13,7 @@ from tidelog.operators import fold
 from tidelog.operators.changes import KEYS, arrived_us, with_keys
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.sources.cdclog import LogReader, ticks_of
-from tidelog.sources.manifest import Incremental, listing, superseded
+from tidelog.sources.manifest import Incremental, listing, with_checksums
 from tidelog.streaming.engine import CdcEngine, Replica
 from tidelog.streaming.kslack import kslack
 from tidelog.streaming.pairing import paired
@@ -201,11 +201,42 @@ def test_manifest_survives_failures(spark, tmp_path):
     put("d", [5])
     inc.run(lambda d: d.where("x > 4"))
     assert seen() == [1, 2, 3, 4, 5]
-    assert superseded(inc.manifest()).count() == 0
-    sums = listing(spark, str(tmp_path / "in")).collect()
+    sums = with_checksums(listing(spark, str(tmp_path / "in"))).collect()
     assert len(sums) == 4 and len({r.checksum for r in sums}) == 4 and all(len(r.checksum) == 32 for r in sums)
 
 
+def test_manifest_replaces_changed_files_and_reads_only_candidates(spark, tmp_path):
+    import os
+
+    from pyarrow import parquet as pq
+
+    inc = Incremental(spark, str(tmp_path / "in"), str(tmp_path / "m"), str(tmp_path / "out"))
+    (tmp_path / "in").mkdir()
+
+    def put(name, values):
+        pq.write_table(pa.table({"x": values}), tmp_path / "in" / f"{name}.parquet")
+
+    def seen():
+        return sorted(r.x for r in inc.committed().select("x").collect())
+
+    put("a", [1, 2])
+    put("b", [7])
+    first = inc.run(lambda d: d)
+    assert seen() == [1, 2, 7] and inc.candidates().count() == 0
+    put("a", [1, 2, 3])
+    second = inc.run(lambda d: d)
+    assert seen() == [1, 2, 3, 7] and second != first
+    assert {r.batch for r in inc.manifest().collect()} == {second} and inc.run(lambda d: d) is None
+    os.utime(tmp_path / "in" / "b.parquet", (1, 1))
+    assert inc.candidates().count() == 1 and inc.pending().count() == 0 and inc.run(lambda d: d) is None
+    put("c", [9])
+    inc.run(lambda d: d)
+    put("a", [1])
+    os.remove(tmp_path / "in" / "b.parquet")
+    inc.run(lambda d: d)
+    assert seen() == [1, 9]
+
+
 def test_arrivals_and_keys(spark, small):
     log = spark.read.parquet(paths(small)["log"])
     assert with_keys(log, arrived_us(log).alias("a")).columns == [*KEYS, "a"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidelog.model import MULTI_CK, SCALAR
 from tidelog.operators import asof, dedup, fold, incremental, lateness, skew
 from tidelog.operators.changes import KEYS, arrived_us, with_keys
 from tidelog.plans.tables import multi_log, scalar_log, table
+from tidelog.session import shared_folder
+from tidelog.sources.manifest import Incremental
 
 #: 2026-02-10 00:00:00 UTC, the instant at which p5 reads the tables.
 P5_NOW_US = 1_770_681_600_000_000
@@ -50,6 +54,15 @@ def p2_pending_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.pending_inputs(listing, manifest, "delivery_batch")
 
 
+def p2_processed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of the log as two runs over its files commit them: the second finds nothing to do."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    runs = Incremental(spark, f"{sf_dir}/scalar_scylla_cdc_log.parquet", f"{folder}/manifest", f"{folder}/out")
+    for _ in range(2):
+        runs.run(lambda log: with_keys(log, F.col("delivery_batch")))
+    return runs.committed().drop("batch")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scalar_log(spark, sf_dir).select(F.hex("cdc$stream_id").alias("stream_id"))
     return skew.heavy_keys(rows, "stream_id", HEAVY_SHARE).select("stream_id")
@@ -114,6 +127,6 @@ def p6_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_first_copies, p1_new_changes, p2_found, p2_pending_batches, p3_found, p3_per_stream,
+    p1_found, p1_first_copies, p1_new_changes, p2_found, p2_pending_batches, p2_processed_files, p3_found, p3_per_stream,
     p4_found, p4_generation_of_changes, p5_found, p5_current_scalar, p6_found, p6_hourly,
 )}

@@ -88,6 +88,7 @@ SQL = {
         HAVING count(*) FILTER (WHERE delivery_batch IN (SELECT delivery_batch FROM done)) = 0""",
     "p2_pending_batches": """SELECT delivery_batch, count(*) AS n_rows FROM scalar_scylla_cdc_log l WHERE NOT EXISTS
         (SELECT 1 FROM consumer_runs r WHERE r.status = 'committed' AND l.delivery_batch BETWEEN r.first_batch AND r.last_batch) GROUP BY 1""",
+    "p2_processed_files": f"SELECT {KEY}, delivery_batch FROM scalar_scylla_cdc_log",
     "p3_found": """SELECT hex("cdc$stream_id") AS stream_id FROM scalar_scylla_cdc_log GROUP BY 1
         HAVING count(*) >= 0.02 * (SELECT count(*) FROM scalar_scylla_cdc_log)""",
     "p3_per_stream": f"""WITH r AS (SELECT hex("cdc$stream_id") AS stream_id, {US} AS us FROM scalar_scylla_cdc_log),
