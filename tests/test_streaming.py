@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from tests.test_changes import machine
 from tidelog.functions.timeuuid import HOUR_US
-from tidelog.model import SCALAR
+from tidelog.model import MULTI_CK, SCALAR, Mode, TableSpec
 from tidelog.operators import fold
 from tidelog.operators.changes import KEYS, arrived_us, with_keys
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.sources.cdclog import LogReader, ticks_of
 from tidelog.sources.manifest import Incremental, listing, with_checksums
-from tidelog.streaming.engine import CdcEngine, Replica
+from tidelog.streaming.engine import CdcEngine
 from tidelog.streaming.kslack import kslack
 from tidelog.streaming.pairing import paired
+from tidelog.streaming.replica import Replica
 
 
 def paths(small):
@@ -63,6 +64,54 @@ def test_replica_is_the_batch_fold(spark, small, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
 
+def test_replica_of_collections_in_any_mode(spark, tmp_path):
+    """A set, a map and a list beside a column: additions, removals, overwrites, lifetimes and deletions, in parts."""
+    spec = TableSpec("t", ("pk",), ("ck",), ("v", "s", "m", "l"), (("s", "set"), ("m", "map"), ("l", "list")))
+    from tests.test_fold import timeuuid
+
+    kinds = {"s": "array<string>", "m": "map<string,int>", "l": "map<string,string>"}
+    schema = "`cdc$stream_id` binary, `cdc$time` string, `cdc$batch_seq_no` int, `cdc$operation` byte, `cdc$ttl` long, pk int, ck int, v int, `cdc$deleted_v` boolean"
+    for c, k in kinds.items():
+        schema += f", {c} {k}, `cdc$deleted_{c}` boolean, `cdc$deleted_elements_{c}` array<string>"
+    old, new = timeuuid(1, 1), timeuuid(2, 1)
+
+    def row(us, op, ck, seq=0, ttl=None, v=None, s=(None, None, None), m=(None, None, None), ls=(None, None, None)):
+        return (b"x", timeuuid(us, ck), seq, op, ttl, 1 + (ck == 5), ck, v, None, *s, *m, *ls)
+
+    rows = [
+        row(10, 1, 1, s=(["a", "b"], None, None), m=({"k": 1, "q": 2}, None, None), ls=({new: "2", old: "1"}, None, None)),
+        row(20, 1, 1, s=(["c"], None, ["a"]), m=({"k": 3}, None, ["q"]), ls=(None, None, [old])),
+        row(10, 2, 2, v=5, s=(["a"], None, None)), row(20, 1, 2, s=(["z"], True, None)),
+        row(10, 1, 3, s=(["a"], None, None)), row(15, 3, 3),
+        row(10, 1, 4, ttl=1, s=(["a"], None, None)), row(11, 1, 4, s=(["b"], None, None)),
+        row(10, 1, 5, m=({"k": 1}, None, None)), (b"x", timeuuid(12, 9), 0, 4, None, 2, *[None] * 12), row(30, 1, 5, m=({"n": 1}, None, None)),
+    ]
+    log = spark.createDataFrame(rows, schema)
+    want = {1: (None, ["b", "c"], {"k": 3}, ["2"]), 2: (5, ["z"], None, None), 4: (None, ["b"], None, None), 5: (None, None, {"n": 1}, None)}
+    for order in ((0, 1, 2), (2, 1, 0)):
+        replica = Replica(spark, f"{tmp_path}/{order[0]}", spec)
+        for i in order:
+            replica.apply(log.where(F.pmod(F.xxhash64("cdc$time"), F.lit(3)) == i), 0)
+        got = {r.ck: (r.v.value if r.v and r.v_time else None, r.s, r.m, r.l) for r in replica.rows(10**7).collect()}
+        assert got == want
+    images = [row(10, 2, 1, 0, v=1, s=(["a"], None, None)), row(10, 9, 1, 1, v=1, s=(["a", "b"], None, None)), row(20, 1, 1, 0, v=2), row(20, 9, 1, 1, s=(["c"], None, None)), row(30, 1, 1, 0, v=9), row(10, 2, 2, 0, v=1)]
+    replica = Replica(spark, f"{tmp_path}/post", spec, Mode.POSTIMAGE)
+    replica.apply(spark.createDataFrame(images, schema))
+    assert [(r.ck, r.v_time, r.s, r.m) for r in replica.rows(0).collect()] == [(1, "", ["c"], None)]
+
+
+def test_replica_keeps_what_a_new_checkpoint_numbers_anew(spark, small, tmp_path):
+    """Batch ids start at 0 again, parts are merged, and old ones are deleted; ranges are applied."""
+    log = spark.read.parquet(f"{small}/multi_ck_scylla_cdc_log.parquet")
+    replica = Replica(spark, str(tmp_path / "r"), MULTI_CK)
+    for i in range(10):
+        replica.apply(log.where(F.pmod(F.xxhash64(F.lower("cdc$time")), F.lit(10)) == i), i % 2)
+    want = fold.current(log, MULTI_CK, P5_NOW_US).select("pk", "c1", "c2", "v_time").collect()
+    assert sorted(map(tuple, replica.rows(P5_NOW_US).select("pk", "c1", "c2", "v_time").collect()), key=str) == sorted(map(tuple, want), key=str)
+    names = [p.name for p in (tmp_path / "r").iterdir() if not p.name.startswith(".")]
+    assert replica.version() == 10 and sum(n.startswith("current-") for n in names) == 2 and sum(n.startswith("part-") for n in names) <= 9
+
+
 def test_stream_pairing_is_the_state_machine(spark, tmp_path):
     import random
     import time
@@ -252,6 +301,6 @@ def test_command_line(spark, small, tmp_path, capsys, monkeypatch):
     cli.main(["print", log, "--checkpoint", str(tmp_path / "p"), "--once"])
     lines = [x for x in capsys.readouterr().out.splitlines() if " -> Row[" in x]
     assert len(lines) == spark.read.parquet(log).count()
-    cli.main(["replicate", log, str(tmp_path / "r"), "--checkpoint", str(tmp_path / "q"), "--once", "--partition-key", "pk", "--clustering-key", "ck"])
+    cli.main(["replicate", log, str(tmp_path / "r"), "--checkpoint", str(tmp_path / "q"), "--once", "--partition-key", "pk", "--clustering-key", "ck", "--ignore", "arrived_at", "delivery_batch"])
     got = Replica(spark, str(tmp_path / "r"), SCALAR).rows(P5_NOW_US)
     assert got.count() == fold.current(spark.read.parquet(log), SCALAR, P5_NOW_US).count()

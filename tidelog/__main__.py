@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 
 from tidelog.model import Mode, TableSpec
 from tidelog.operators import decode
-from tidelog.streaming.engine import CdcEngine, Replica
+from tidelog.streaming.engine import CdcEngine
+from tidelog.streaming.replica import Replica
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("-t", "--table", default="table")
             s.add_argument("--partition-key", required=True, nargs="+")
             s.add_argument("--clustering-key", default=[], nargs="*")
+            s.add_argument("--ignore", default=[], nargs="*", help="columns of the log that the table doesn't have")
+            s.add_argument("--lists", default=[], nargs="*", help="collections of the log that are lists")
             s.add_argument("-cl", "--consistency-level", default="quorum", help="accepted and without effect")
     return p
 
@@ -44,9 +47,8 @@ def main(argv: list[str] | None = None) -> None:
 
         consume = show
     else:
-        log = decode.without_metadata(engine.batch())
-        extra = {"arrived_at", "delivery_batch"}
-        spec = TableSpec.of(a.table, log.drop(*extra), tuple(a.partition_key), tuple(a.clustering_key))
+        log = decode.without_metadata(engine.batch()).drop(*a.ignore)
+        spec = TableSpec.of(a.table, log, tuple(a.partition_key), tuple(a.clustering_key), tuple(a.lists))
         consume = Replica(spark, a.replica, spec, Mode.parse(a.mode)).apply
     engine.stop_on_interrupt()
     engine.fetch_changes(consume, a.checkpoint, a.once).awaitTermination()

@@ -21,6 +21,13 @@ def ticks(uuid: Column) -> Column:
     return F.when(F.length(uuid) == 36, F.conv(digits, 16, 10).cast("long") - F.lit(EPOCH_TICKS))
 
 
+def uuid_at(us: Column, node: Column) -> Column:
+    """The text of a time-based uuid of microsecond ``us`` whose last 12 digits are the long ``node``."""
+    h = F.lpad(F.lower(F.hex(us * F.lit(10) + F.lit(EPOCH_TICKS))), 16, "0")
+    tail = F.lpad(F.lower(F.hex(node)), 12, "0")
+    return F.concat(F.substring(h, 9, 8), F.lit("-"), F.substring(h, 5, 4), F.lit("-1"), F.substring(h, 2, 3), F.lit("-8080-"), tail)
+
+
 def _floor(a: Column, by: int) -> Column:
     """Floor division of longs, also below zero."""
     return F.call_function("div", a - F.pmod(a, F.lit(by).cast("long")), F.lit(by).cast("long"))

@@ -57,6 +57,11 @@ class TableSpec:
     columns: tuple[str, ...]
     collections: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def scalars(self) -> tuple[str, ...]:
+        """The columns that are no collections."""
+        return tuple(c for c in self.columns if c not in dict(self.collections))
+
     @property
     def ranges(self) -> bool:
         """Whether rows may be deleted by ranges of the clustering key."""
@@ -67,14 +72,17 @@ class TableSpec:
         return self.partition_key + self.clustering_key
 
     @classmethod
-    def of(cls, name: str, df: DataFrame, partition_key: tuple[str, ...], clustering_key: tuple[str, ...] = ()) -> TableSpec:
-        """From a target's schema: maps and arrays are collections. A key column that is missing is an error."""
+    def of(
+        cls, name: str, df: DataFrame, partition_key: tuple[str, ...], clustering_key: tuple[str, ...] = (), lists: tuple[str, ...] = ()
+    ) -> TableSpec:
+        """From a schema: maps and arrays are collections. In a log a list is a map from time-based uuid to value, so ``lists``
+        names those maps that are lists. A key column that is missing is an error."""
         missing = {*partition_key, *clustering_key} - set(df.columns)
         if missing:
             raise ValueError(f"{name} has no columns {sorted(missing)}")
         rest = tuple(c for c in df.columns if c not in {*partition_key, *clustering_key})
         kinds = {T.ArrayType: "set", T.MapType: "map"}
-        unfrozen = tuple((c, kinds[type(df.schema[c].dataType)]) for c in rest if type(df.schema[c].dataType) in kinds)
+        unfrozen = tuple((c, "list" if c in lists else kinds[type(df.schema[c].dataType)]) for c in rest if type(df.schema[c].dataType) in kinds)
         return cls(name, partition_key, clustering_key, rest, unfrozen)
 
 

@@ -141,10 +141,11 @@ def range_tombstones(changes: DataFrame, pk: Sequence[str], ck: Sequence[str]) -
     return range_bounds(paired_ranges(ranges, ["stream_id", "change_time"], "seq", pk, ck), pk, ck)
 
 
-def live_rows(states: DataFrame, columns: Sequence[str], now_us: int) -> DataFrame:
+def live_rows(states: DataFrame, columns: Sequence[str], now_us: int, more: Column | None = None) -> DataFrame:
     """The rows that exist at ``now_us``, with column ``<c>_time``: the change that supplied c's present value, or ''.
 
-    ``states`` has, beside the fold's columns, ``deleted_us``: the latest deletion that covers the row, or null.
+    ``states`` has, beside the fold's columns, ``deleted_us``: the latest deletion that covers the row, or null. ``more`` is
+    another reason for a row to exist.
     """
     dead = F.coalesce("deleted_us", F.lit(LOWEST))
 
@@ -152,7 +153,7 @@ def live_rows(states: DataFrame, columns: Sequence[str], now_us: int) -> DataFra
         return F.col(f"{c}.us").isNull() | (F.col(f"{c}.expire_us") <= now_us) | (dead >= F.col(f"{c}.us"))
 
     gone = {c: void(c) | F.col(f"{c}.gone") for c in columns}
-    exists = ~void("mark")
+    exists = ~void("mark") if more is None else ~void("mark") | more
     for c in columns:
         exists = exists | ~gone[c]
     times = [F.when(gone[c], F.lit("")).otherwise(F.col(f"{c}.change_time")).alias(f"{c}_time") for c in columns]
@@ -161,7 +162,7 @@ def live_rows(states: DataFrame, columns: Sequence[str], now_us: int) -> DataFra
 
 def decoded(log: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A log as the fold takes it: op, us, expire_us, change_time, stream_id, seq, and ``columns`` with their flags."""
-    flags = [f"cdc$deleted_{c}" for c in columns if f"cdc$deleted_{c}" in log.columns]
+    flags = [f for c in columns for f in (f"cdc$deleted_{c}", f"cdc$deleted_elements_{c}") if f in log.columns]
     return log.select(
         F.col("cdc$operation").cast("int").alias("op"),
         tu.micros(F.col("cdc$time")).alias("us"),

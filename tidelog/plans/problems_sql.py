@@ -63,7 +63,7 @@ def _current(table: str, ck: list[str], cols: list[str], ranges: bool) -> str:
 
 
 _SCALAR = _current("scalar_scylla_cdc_log", ["ck"], ["v", "s"], False)
-_MULTI = _current("multi_ck_scylla_cdc_log", ["c1", "c2"], ["v"], True)
+MULTI_ROWS = _current("multi_ck_scylla_cdc_log", ["c1", "c2"], ["v"], True)
 
 _LATE = f"""WITH c AS (SELECT {KEY}, {US} AS us, min({ARRIVED}) AS first_us FROM scalar_scylla_cdc_log GROUP BY ALL),
 p AS (SELECT *, {floor_sql('us', 3600000000)} * 3600000000 AS period_us FROM c),
@@ -98,7 +98,7 @@ SQL = {
     "p4_found": f"{GENERATIONS} SELECT {_K} FROM r WHERE NOT listed",
     "p4_generation_of_changes": f"{GENERATIONS} SELECT * FROM r",
     "p5_found": f"""SELECT 'scalar' AS base_table, pk, ck AS c1, CAST(0 AS BIGINT) AS c2, v_time, s_time FROM ({_SCALAR})
-        UNION ALL SELECT 'multi_ck', pk, c1, c2, v_time, '' FROM ({_MULTI})""",
+        UNION ALL SELECT 'multi_ck', pk, c1, c2, v_time, '' FROM ({MULTI_ROWS})""",
     "p6_found": f"{_LATE} SELECT {_K} FROM f WHERE fate = 'correction'",
     "p6_hourly": f"""{_LATE}, t AS (SELECT *, fate <> 'too_late' AS let_in, fate = 'on_time' AS early FROM f),
         g AS (SELECT *, CASE WHEN let_in THEN us - max(CASE WHEN let_in THEN us END) OVER w END AS gap, CASE WHEN early THEN us - max(CASE WHEN early THEN us END) OVER w END AS early_gap

@@ -7,17 +7,21 @@ for these a log is derived from ``events`` with integer arithmetic: stream = pk
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import collection
 from tidelog.functions import timeuuid as tu
-from tidelog.model import MULTI_CK, SCALAR, Mode
+from tidelog.model import MULTI_CK, SCALAR, Mode, TableSpec
 from tidelog.operators import decode, elements, fold, generations, ordered, preimage, topology, vnodes, windows
 from tidelog.operators.changes import key_columns
 from tidelog.plans.problems import P5_NOW_US
 from tidelog.plans.tables import multi_log, scalar_log, table
+from tidelog.session import shared_folder
 from tidelog.streaming.engine import CdcEngine
+from tidelog.streaming.replica import Replica
 
 #: 2026-01-20, 2026-01-21 and 2026-01-25 00:00 UTC in ms.
 FROM_MS, TO_MS, REPLAY_TO_MS = 1_768_867_200_000, 1_768_953_600_000, 1_769_299_200_000
@@ -321,6 +325,56 @@ def generations_to_refresh(spark, sf_dir):
     return generations.generations_of(_generations(spark, sf_dir)).select("start_us", "end_us", needed.alias("refresh"))
 
 
+def _as_log(rows: DataFrame) -> DataFrame:
+    """Rows (id, us, seq, op, pk, ck, v) as a change log: one stream per pk, one time per id."""
+    return rows.select(
+        F.unhex(F.lpad(F.hex("pk"), 32, "0")).alias("cdc$stream_id"), tu.uuid_at(F.col("us"), F.col("id")).alias("cdc$time"), F.col("seq").cast("int").alias("cdc$batch_seq_no"),
+        F.col("op").cast("byte").alias("cdc$operation"), F.lit(None).cast("long").alias("cdc$ttl"), F.lit(None).cast("boolean").alias("cdc$deleted_v"), "pk", "ck", "v",
+    )
+
+
+def _replayed_by_parts(spark: SparkSession, log: DataFrame, spec: TableSpec, mode: Mode, part: Column, parts: int) -> Replica:
+    """A replica after the batches ``part`` = 0, 1, ... of the log."""
+    replica = Replica(spark, f"{shared_folder(spark)}/replica-{uuid.uuid4().hex}", spec, mode)
+    for i in range(parts):
+        replica.apply(log.where(part == i))
+    return replica
+
+
+def replica_multi(spark, sf_dir):
+    """The replica of multi_ck after its log came in three batches, out of order; ranges included."""
+    part = F.pmod(F.xxhash64(F.lower("cdc$time")), F.lit(3))
+    return _replayed_by_parts(spark, multi_log(spark, sf_dir), MULTI_CK, Mode.DELTA, part, 3).rows(P5_NOW_US).select("pk", "c1", "c2", "v_time")
+
+
+EVENTS_TABLE = TableSpec("events", ("pk",), ("ck",), ("v",))
+
+
+def replica_postimage(spark, sf_dir):
+    """The replica of a log derived from ``events`` in postimage mode: every eleventh event deletes its row, the others write it, and
+    two of three are followed by a postimage, without a value in every seventh."""
+    d = _derived(spark, sf_dir).where("ck is not null").withColumns({"id": F.col("seq"), "us": F.col("ts_us"), "seq": F.lit(0)})
+    d = d.withColumn("op", F.expr("case when id % 11 = 0 then 3 else 1 + id % 2 end"))
+    images = d.where("id % 3 <> 0").withColumns({"seq": F.lit(1), "op": F.lit(9), "v": F.expr("case when id % 7 <> 0 then v end")})
+    log = _as_log(d.unionByName(images))
+    part = F.pmod(F.xxhash64("cdc$time"), F.lit(2))
+    rows = _replayed_by_parts(spark, log, EVENTS_TABLE, Mode.POSTIMAGE, part, 2).rows(P5_NOW_US)
+    return rows.select("pk", "ck", F.when(F.col("v_time") != "", F.col("v.value")).alias("v"))
+
+
+def replica_preimages(spark, sf_dir):
+    """What preimage mode reports of a log derived from ``events``: each event of a row comes after a preimage, which is wrong in
+    every thirteenth and empty in every seventeenth."""
+    d = _derived(spark, sf_dir).where("ck is not null and v is not null").groupBy("pk", "ck", F.col("ts_us").alias("us")).agg(F.max(F.struct("seq", "v")).alias("e"))
+    d = d.select("pk", "ck", "us", F.col("e.seq").alias("id"), "e.v").withColumn("was", F.lag("v").over(Window.partitionBy("pk", "ck").orderBy("us")))
+    images = d.withColumn("v", F.expr("case when id % 13 = 0 then v + 1 when id % 17 <> 0 then was end")).withColumns({"seq": F.lit(0), "op": F.lit(0)})
+    log = _as_log(d.withColumns({"seq": F.lit(1), "op": F.lit(2)}).unionByName(images))
+    middle = F.lit(d.agg(F.percentile_approx("us", 0.5)).first()[0])
+    part = (tu.micros(F.col("cdc$time")) > middle).cast("int")
+    replica = _replayed_by_parts(spark, log, EVENTS_TABLE, Mode.PREIMAGE, part, 2)
+    return replica.mismatches().select("pk", "ck", "change_time", "mismatch")
+
+
 def stream_changes(spark, sf_dir):
     """The scalar log as the stream source delivers it: per generation and task, from the epoch to the clock."""
     names = {"path": "scalar_scylla_cdc_log", "generations": "cdc_streams_descriptions", "ring": "token_ring", "tokens": "cdc_stream_tokens"}
@@ -334,4 +388,5 @@ QUERIES = {f.__name__: f for f in (
     ttl_values, replay_delta, replay_delta_all, ttl_live_rows, row_delete_apply, partition_delete_apply, range_delete_pairs, range_orphans,
     range_pairs_across_time, range_delete_apply, lww_cells, postimage_pairs, replay_postimage, preimage_check, set_apply, map_apply,
     list_apply, printer_lines, partition_key_rows, topology_changes, topology_last_change, generations_to_refresh, stream_changes,
+    replica_multi, replica_postimage, replica_preimages,
 )}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidelog.plans.problems import P5_NOW_US
-from tidelog.plans.problems_sql import GENERATIONS, KEY, TICKS, US, floor_sql
+from tidelog.plans.problems_sql import GENERATIONS, KEY, MULTI_ROWS, TICKS, US, floor_sql
 from tidelog.plans.reference import CLOCK_MS, FROM_MS, HOUR_MS, ORIGIN_MS, REPLAY_TO_MS, TASK_TO_MS, TO_MS
 
 _STARTS = "s AS (SELECT DISTINCT epoch_us(time) AS start_us FROM cdc_streams_descriptions WHERE time IS NOT NULL)"
@@ -132,6 +132,20 @@ SQL = {
     "partition_key_rows": "SELECT DISTINCT pk FROM multi_ck_scylla_cdc_log",
     "topology_changes": f"WITH {_TOPOLOGY} SELECT node, us, kind FROM e WHERE kind IN ('add', 'remove')",
     "topology_last_change": f"WITH {_TOPOLOGY} SELECT max(us) AS last_change_us FROM e WHERE kind IN ('add', 'remove')",
+    "replica_multi": MULTI_ROWS,
+    "replica_postimage": f"""WITH {_D}, w AS (SELECT pk, ck, ts_us AS us, CASE WHEN seq % 7 <> 0 THEN v END AS v, 1 + seq % 2 AS op FROM d WHERE ck IS NOT NULL AND seq % 11 <> 0 AND seq % 3 <> 0),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk, ck ORDER BY us DESC, v IS NULL DESC, v DESC) AS n FROM w) WHERE n = 1),
+        m AS (SELECT pk, ck, max(us) FILTER (WHERE op = 2) AS us FROM w GROUP BY ALL),
+        x AS (SELECT pk, ck, max(ts_us) AS us FROM d WHERE ck IS NOT NULL AND seq % 11 = 0 GROUP BY ALL),
+        j AS (SELECT b.pk, b.ck, CASE WHEN b.us > coalesce(x.us, b.us - 1) THEN b.v END AS v, m.us > coalesce(x.us, m.us - 1) AS marked
+            FROM b JOIN m USING (pk, ck) LEFT JOIN x ON x.pk = b.pk AND x.ck = b.ck)
+        SELECT pk, ck, v FROM j WHERE v IS NOT NULL OR marked""",
+    "replica_preimages": f"""WITH {_D}, e AS (SELECT pk, ck, ts_us AS us, seq AS id, v FROM (SELECT *, row_number() OVER (PARTITION BY pk, ck, ts_us ORDER BY seq DESC) AS n FROM d
+            WHERE ck IS NOT NULL AND v IS NOT NULL) WHERE n = 1),
+        l AS (SELECT *, lag(v) OVER (PARTITION BY pk, ck ORDER BY us) AS was FROM e),
+        p AS (SELECT *, CASE WHEN id % 13 = 0 THEN v + 1 WHEN id % 17 <> 0 THEN was END AS pre, printf('%016x', us * 10 + 122192928000000000) AS h FROM l)
+        SELECT pk, ck, h[9:16] || '-' || h[5:8] || '-1' || h[2:4] || '-8080-' || printf('%012x', id) AS change_time, CASE WHEN was IS NULL THEN 'missing row' ELSE 'v' END AS mismatch
+        FROM p WHERE pre IS DISTINCT FROM was""",
     "generations_to_refresh": f"""WITH {_GENS}, {_TOPOLOGY}, c AS (SELECT {floor_sql("max(us)", 1000)} AS change_ms FROM e WHERE kind IN ('add', 'remove')),
         n AS (SELECT max({_MS}) AS rows_ms FROM scalar_scylla_cdc_log)
         SELECT start_us, end_us, end_us IS NULL AND ({floor_sql("start_us", 1000)} + 30000 < change_ms OR rows_ms < {CLOCK_MS - 10_000}) AS refresh FROM g, c, n""",

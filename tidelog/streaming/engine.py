@@ -1,9 +1,4 @@
-"""The facade: a change log to a callback, to lines, or to a replica table, in batch or as a stream.
-
-The replica is the folded state of the table, kept with its tombstones in versioned folders. A batch is folded into the
-present version by maximum and written as the version of its batch id; a pointer file then names it. A batch that is
-repeated after a failure overwrites its own folder, and folding a change twice changes nothing.
-"""
+"""The facade: a change log to a callback, in batch or as a stream; ``replica`` and ``decode.printed`` are such callbacks."""
 
 from __future__ import annotations
 
@@ -14,14 +9,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from tidelog.model import Mode, TableSpec
-from tidelog.operators import decode, fold
 from tidelog.session import shared_folder
 from tidelog.sources import cdclog
-from tidelog.sources.manifest import _fs
 
 log = logging.getLogger("tidelog")
 
@@ -82,48 +73,3 @@ class ProgressLog(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         log.info("query %s ended%s", event.id, f": {event.exception}" if event.exception else "")
-
-
-class Replica:
-    """The state of one table under ``folder``, for tables whose rows are deleted one by one or by partition."""
-
-    def __init__(self, spark: SparkSession, folder: str, spec: TableSpec, mode: Mode = Mode.DELTA) -> None:
-        self.spark, self.folder, self.spec, self.mode = spark, folder, spec, mode
-
-    def version(self) -> int | None:
-        fs, root, path = _fs(self.spark, self.folder)
-        if not fs.exists(root):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        done = [int(n[len("current-"):]) for n in names if n.startswith("current-")]
-        return max(done, default=None)
-
-    def _read(self, version: int | None, part: str) -> DataFrame | None:
-        return None if version is None else self.spark.read.parquet(f"{self.folder}/v{version}/{part}")
-
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Fold a batch of the log into the replica; used as the callback of ``CdcEngine.fetch_changes``."""
-        done = self.version()
-        if done is not None and done >= batch_id:
-            return
-        pk, ck, columns = self.spec.partition_key, self.spec.clustering_key, self.spec.columns
-        changes = decode.checked(fold.decoded(changes, [*self.spec.primary_key, *columns]), self.mode)
-        rows = fold.row_states(changes, pk, ck, columns)
-        dead = fold.partition_tombstones(changes, pk)
-        old_rows, old_dead = self._read(done, "rows"), self._read(done, "partitions")
-        if old_rows is not None:
-            rows = fold.merge_states(rows, old_rows, pk, ck)
-            dead = dead.unionByName(old_dead).groupBy(*pk).agg(F.max("partition_deleted_us").alias("partition_deleted_us"))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}/rows")
-        dead.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}/partitions")
-        fs, _, path = _fs(self.spark, self.folder)
-        fs.create(path(f"{self.folder}/current-{batch_id}"), True).close()
-
-    def rows(self, now_us: int) -> DataFrame:
-        """The rows that exist at ``now_us``, with the change that supplied each column in ``<column>_time``."""
-        done = self.version()
-        if done is None:
-            raise ValueError("the replica is empty")
-        states = fold.with_partition_tombstones(self._read(done, "rows"), self._read(done, "partitions"), self.spec.partition_key, self.spec.clustering_key)
-        states = states.withColumn("deleted_us", F.greatest("row_deleted_us", "partition_deleted_us"))
-        return fold.live_rows(states, self.spec.columns, now_us)
