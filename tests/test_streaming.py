@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_changes import machine
-from tidelog.functions.timeuuid import HOUR_US
+from tidelog.functions.timeuuid import EPOCH_TICKS, HOUR_US
 from tidelog.model import MULTI_CK, SCALAR, Mode, TableSpec
 from tidelog.operators import fold
 from tidelog.operators.changes import KEYS, arrived_us, with_keys
@@ -39,15 +40,42 @@ def test_source_reads_each_change_once(spark, small, tmp_path):
     assert sorted(rows) == sorted(r for r in log if r[:3] not in wrong)
 
 
-def test_pieces_tile(small):
-    r = LogReader({"path": paths(small)["log"], "now_ms": "100000", "window_ms": "30000"})
+def test_spans_tile_and_row_groups_are_dealt_once(spark, small, tmp_path):
+    p = paths(small)
+    r = LogReader({"path": p["log"], "now_ms": "100000"})
     assert r.latestOffset() == {"ms": 90_000} and r.initialOffset() == {"ms": 0}
-    assert [(p.lo_ms, p.hi_ms) for p in r.partitions({"ms": 0}, {"ms": 90_000})] == [(0, 90_000)]
-    assert [(p.lo_ms, p.hi_ms) for p in r.partitions({"ms": 5}, {"ms": 70_000})] == [(5, 30_005), (30_005, 60_005), (60_005, 70_000)]
-    assert r.partitions({"ms": 5}, {"ms": 5}) == []
-    long = r.partitions({"ms": 1}, {"ms": 10**9})
-    assert len(long) <= 64 and long[-1].hi_ms == 10**9
-    assert ticks_of(pa.array(["x", None])).tolist() == [-(2**63)] * 2
+    assert [(s.lo_ms, s.hi_ms) for s in r.spans({"ms": 5}, {"ms": 70_000})] == [(5, 70_000)] and r.partitions({"ms": 5}, {"ms": 5}) == []
+    log = spark.read.parquet(p["log"])
+    log.repartition(5).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "log"))
+    r = LogReader({"path": str(tmp_path / "log"), "generations": p["generations"], "ring": p["ring"], "tokens": p["tokens"], "now_ms": "1771545600000", "most_pieces": "3"})
+    spans = r.spans({"ms": 0}, r.latestOffset())
+    assert all(a.hi_ms <= b.lo_ms for a, b in zip(spans, spans[1:])) and spans[-1].hi_ms == 1771545590000
+    pieces = r.partitions({"ms": 0}, r.latestOffset())
+    dealt = [(f, g) for x in pieces for f, groups in x.files for g in groups]
+    assert len(pieces) == 3 and len(dealt) == len(set(dealt)) >= 5
+    whole = sorted(str(x) for piece in pieces for b in r.read(piece) for x in b.select(["cdc$time", "delivery_batch"]).to_pylist())
+    one = LogReader({**r.options, "most_pieces": "1"})
+    assert whole == sorted(str(x) for piece in one.partitions({"ms": 0}, r.latestOffset()) for b in one.read(piece) for x in b.select(["cdc$time", "delivery_batch"]).to_pylist())
+
+
+def test_young_generations_wait(small):
+    p = paths(small)
+    starts = sorted({int((t - type(t)(1970, 1, 1)).total_seconds() * 1000) for t in pq.read_table(p["generations"])["time"].to_pylist() if t})
+    for s in starts:
+        for wait, want in ((0, s - 10_001), (29_999, s - 1), (30_000, s + 20_000)):
+            got = LogReader({"path": p["log"], "generations": p["generations"], "now_ms": str(s + wait)}).latestOffset()["ms"]
+            others = [x - 1 for x in starts if s + wait - 30_000 < x]
+            assert got == min([s + wait - 10_000, *others]) <= max(want, s + wait - 10_000)
+
+
+def test_hex_times_in_arrays():
+    import uuid
+
+    ids = [str(uuid.UUID(int=i * 0x1234567890ABCDEF1234567 % 2**128)) for i in range(50)]
+    ids = [x[:14] + "1" + x[15:] for x in ids] + ["8D780CCA-E9C9-11F0-805E-4955F9F11DCB"]
+    assert ticks_of(pa.array(ids)).tolist() == [uuid.UUID(x).time - EPOCH_TICKS for x in ids]
+    assert ticks_of(pa.array(["x", None, "g" * 36, "ä" * 18])).tolist() == [-(2**63)] * 4
+    assert ticks_of(pa.array([], pa.string())).tolist() == []
 
 
 def test_replica_is_the_batch_fold(spark, small, tmp_path):
@@ -257,8 +285,6 @@ def test_manifest_survives_failures(spark, tmp_path):
 def test_manifest_replaces_changed_files_and_reads_only_candidates(spark, tmp_path):
     import os
 
-    from pyarrow import parquet as pq
-
     inc = Incremental(spark, str(tmp_path / "in"), str(tmp_path / "m"), str(tmp_path / "out"))
     (tmp_path / "in").mkdir()
 

@@ -376,9 +376,9 @@ def replica_preimages(spark, sf_dir):
 
 
 def stream_changes(spark, sf_dir):
-    """The scalar log as the stream source delivers it: per generation and task, from the epoch to the clock."""
+    """The scalar log as the stream source delivers it: per generation and task, from the epoch to 10 s before a clock within it."""
     names = {"path": "scalar_scylla_cdc_log", "generations": "cdc_streams_descriptions", "ring": "token_ring", "tokens": "cdc_stream_tokens"}
-    engine = CdcEngine(spark, **{k: f"{sf_dir}/{v}.parquet" for k, v in names.items()}, now_ms=CLOCK_MS)
+    engine = CdcEngine(spark, **{k: f"{sf_dir}/{v}.parquet" for k, v in names.items()}, now_ms=REPLAY_TO_MS)
     return engine.read_once().select(*key_columns(), "pk", "ck", "delivery_batch")
 
 

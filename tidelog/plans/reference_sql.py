@@ -125,7 +125,8 @@ SQL = {
     "set_apply": _elements("ck", "CAST(ck AS VARCHAR)", "CAST(elem AS VARCHAR), ',' ORDER BY CAST(elem AS VARCHAR)"),
     "map_apply": _elements("CAST(ck AS VARCHAR)", "CAST(seq AS VARCHAR)", "elem || '=' || value, ',' ORDER BY elem || '=' || value"),
     "list_apply": _elements("ck", "CAST(seq AS VARCHAR)", "value, ',' ORDER BY elem"),
-    "stream_changes": f"""{GENERATIONS} SELECT stream_id, change_time, batch_seq_no, pk, ck, delivery_batch FROM (SELECT {KEY}, pk, ck, delivery_batch FROM scalar_scylla_cdc_log) l
+    "stream_changes": f"""{GENERATIONS} SELECT stream_id, change_time, batch_seq_no, pk, ck, delivery_batch FROM (SELECT {KEY}, pk, ck, delivery_batch FROM scalar_scylla_cdc_log
+        WHERE {_within(0, REPLAY_TO_MS - 10_000)}) l
         JOIN (SELECT stream_id, change_time, batch_seq_no FROM r WHERE listed) USING (stream_id, change_time, batch_seq_no)""",
     "printer_lines": f"""SELECT hex("cdc$stream_id") || ' -> Row[' || {" || ', ' || ".join([_TEXT.format('hex("cdc$stream_id")'), *[_TEXT.format(f'"{c}"') for c in _COLUMNS]])} || ']' AS line
         FROM multi_ck_scylla_cdc_log""",

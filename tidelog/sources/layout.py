@@ -7,11 +7,15 @@ Within a file rows are sorted by stream, which makes the file's own statistics u
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import timeuuid as tu
 from tidelog.operators.windows import scan
+from tidelog.sources.cdclog import NOTE, stored_buckets
+from tidelog.sources.manifest import _fs
 
 DAY_MS = 86_400_000
 BUCKETS = 64
@@ -24,7 +28,11 @@ def _bucket(stream: Column, buckets: int) -> Column:
 
 
 def store(log: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Write ``log`` by ``log_day`` (days since 1970, null for rows without a time) and ``log_bucket``."""
+    """Write ``log`` by ``log_day`` (days since 1970, null for rows without a time) and ``log_bucket``, of which there must always
+    be as many; the number is noted beside the folders."""
+    noted = stored_buckets(path)
+    if mode == "append" and noted not in (None, buckets):
+        raise ValueError(f"{path} has {noted} buckets")
     rows = log.withColumn("log_day", tu.floor_div(tu.millis(F.col("cdc$time")), DAY_MS)).withColumn("log_bucket", _bucket(F.col("cdc$stream_id"), buckets))
     spread = F.pmod(F.xxhash64("cdc$time"), F.lit(SPREAD))
     (
@@ -32,6 +40,10 @@ def store(log: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append
         .sortWithinPartitions("log_day", "log_bucket", "cdc$stream_id")
         .write.partitionBy("log_day", "log_bucket").mode(mode).parquet(path)
     )
+    fs, _, at = _fs(log.sparkSession, path)
+    out = fs.create(at(f"{path}/{NOTE}"), True)
+    out.write(json.dumps({"buckets": buckets}).encode())
+    out.close()
 
 
 def stored_scan(spark: SparkSession, path: str, start_ms: int, end_ms: int, streams: list[bytes] | None = None, buckets: int = BUCKETS) -> DataFrame:
