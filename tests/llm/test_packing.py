@@ -79,3 +79,12 @@ def test_same_containers_whatever_the_partitions(spark):
     df = spark.range(500).select(F.col("id").alias("doc"), (F.col("id") * 37 % 90 + 1).alias("n"))
     a, b = (sorted(map(tuple, packing.containers(x, "doc", "n", 100).collect())) for x in (df, df.repartition(11)))
     assert a == b
+
+
+def test_no_document_is_lost(spark, small):
+    from tests import compare
+    from tidelog.llm import queries
+
+    con = compare.connect(small)
+    for name, sql in queries.SQL.items():
+        assert compare.difference(spark, con, queries.QUERIES[name], sql, small) == "", name

@@ -1,4 +1,7 @@
-"""Queries p7 to p9, over the whole table of documents each, and their oracle SQL where SQL can say it."""
+"""Queries p7 to p9, over the whole table of documents each, and their oracle SQL where SQL can say it.
+
+SQL can't encode, pack or score; what it can say is that no document is lost on the way.
+"""
 
 from __future__ import annotations
 
@@ -42,5 +45,18 @@ def p9_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(scores.withColumn("source", F.regexp_replace(F.lower(F.trim("source")), "[\\s-]+", "_")), "source")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p9_found, p9_scores, p9_source_rates)}
-SQL: dict[str, str] = {}
+def p8_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have a place in some container: all of them."""
+    return p8_containers(spark, sf_dir).select("doc_id").distinct()
+
+
+def p9_texts_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rates are rates of: every text scored, per source."""
+    return p9_source_rates(spark, sf_dir).select("source", "n_texts")
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p9_found, p9_scores, p9_source_rates, p8_placed, p9_texts_per_source)}
+SQL = {
+    "p8_placed": "SELECT doc_id FROM documents",
+    "p9_texts_per_source": r"SELECT regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS source, count(*) AS n_texts FROM documents GROUP BY 1",
+}
