@@ -38,13 +38,16 @@ def test_cells_and_projections(spark):
     assert [(r.op, r.state) for r in decode.cell_states(df, [F.col("pk")], ["v"]).collect()] == [(1, "unset"), (1, "null"), (2, "value")]
     assert [r[0] for r in df.select(decode.ttl()).collect()] == [None, None, 5, None]
     assert decode.without_metadata(df).columns == ["v", "pk"]
-    assert decode.printed(df.limit(1), [F.col("pk"), F.col("v")]).first().line == "01 -> Row[7, NULL]"
+    assert decode.printed(df.limit(1), ["pk", "v"]).first().line == "01 -> Row[7, NULL]"
+    assert decode.printed(df.limit(1)).first().line == "01 -> Row[01, 1, NULL, false, NULL, 7]"
     spec = TableSpec.of("t", df.select("pk", "v"), ("pk",))
     assert spec.columns == ("v",) and spec.primary_key == ("pk",)
     with pytest.raises(ValueError, match="no columns"):
         TableSpec.of("t", df, ("nope",))
-    out = decode.dispatch(df.withColumn("op", F.col("cdc$operation").cast("int")), {1: lambda d: d.select("pk"), 2: lambda d: d.select("pk", "v")})
-    assert sorted((r.pk, r.v or 0) for r in out.collect()) == [(7, 0), (7, 0), (7, 3.0)]
+    made = df.select(decode.dispatch(F.col("cdc$operation"), {1: F.lit("none"), 2: F.col("v").cast("string"), 3: F.lit("gone")}))
+    assert [r[0] for r in made.collect()] == ["none", "none", "3.0", "gone"]
+    with pytest.raises(Exception, match="no handler for operation 3"):
+        df.select(decode.dispatch(F.col("cdc$operation"), {1: F.lit(1), 2: F.lit(2)})).collect()
 
 
 @pytest.mark.parametrize(("ring", "streams", "want"), [

@@ -5,7 +5,7 @@ A cell is unset (null, not flagged deleted: left alone), null (null and flagged:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +61,14 @@ def checked(changes: DataFrame, mode: Mode) -> DataFrame:
     return changes.withColumn("op", F.when(refused, F.raise_error(message).cast("int")).otherwise(F.col("op")))
 
 
-def dispatch(changes: DataFrame, handlers: dict[int, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """The union of what each operation's handler makes of its changes; the handlers are the user's strategy."""
-    parts = [f(changes.where(F.col("op") == int(op))) for op, f in sorted(handlers.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+def dispatch(op: Column, handlers: dict[int, Column]) -> Column:
+    """What the handler of each change's operation makes of it, in one pass; handlers are the user's strategy, one expression
+    of one type per operation. An operation without a handler, or none, fails the query when it's met."""
+    message = F.concat(F.lit("no handler for operation "), F.coalesce(op.cast("string"), F.lit("null")))
+    chosen = None
+    for code, handler in sorted(handlers.items()):
+        chosen = F.when(op == int(code), handler) if chosen is None else chosen.when(op == int(code), handler)
+    return F.raise_error(message) if chosen is None else chosen.otherwise(F.raise_error(message))
 
 
 def printed(log: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -126,6 +126,17 @@ def operation_counts(spark, sf_dir):
     return decode.checked(rows, Mode.DELTA).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
+def operation_targets(spark, sf_dir):
+    """What each change of multi_ck acts on, by the handler of its operation."""
+
+    def named(kind: str, *columns: str) -> Column:
+        return F.concat_ws("/", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
+
+    row, bound = ["pk", "c1", "c2"], named("bound", "pk", "c1", "c2")
+    handlers = {1: named("cells", *row), 2: named("row", *row), 3: named("no row", *row), 4: named("no partition", "pk"), **dict.fromkeys((5, 6, 7, 8), bound)}
+    return multi_log(spark, sf_dir).select(*key_columns(), decode.dispatch(F.col("cdc$operation"), handlers).alias("target")).distinct()
+
+
 def row_keys(spark, sf_dir):
     return decode.primary_keys(multi_log(spark, sf_dir), MULTI_CK).distinct()
 
@@ -384,7 +395,7 @@ def stream_changes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     gen_starts, gen_list, gen_next, gen_end, gen_streams, stream_vnodes, vnode_tasks, window_scan, task_scan, task_scan_all, window_counts,
-    window_running_total, window_last_non_empty, window_fetch, time_functions, operation_counts, row_keys, base_rows, cell_states,
+    window_running_total, window_last_non_empty, window_fetch, time_functions, operation_counts, operation_targets, row_keys, base_rows, cell_states,
     ttl_values, replay_delta, replay_delta_all, ttl_live_rows, row_delete_apply, partition_delete_apply, range_delete_pairs, range_orphans,
     range_pairs_across_time, range_delete_apply, lww_cells, postimage_pairs, replay_postimage, preimage_check, set_apply, map_apply,
     list_apply, printer_lines, partition_key_rows, topology_changes, topology_last_change, generations_to_refresh, stream_changes,

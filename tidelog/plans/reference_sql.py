@@ -81,6 +81,8 @@ SQL = {
     "time_functions": f"""SELECT DISTINCT lower("cdc$time") AS change_time, {TICKS} AS ticks, {US} AS us, {_MS} AS ms, {_MS} * 10000 AS first_tick,
         {_MS} * 10000 + 9999 AS last_tick FROM scalar_scylla_cdc_log""",
     "operation_counts": 'SELECT CAST("cdc$operation" AS INTEGER) AS op, count(*) AS n FROM multi_ck_scylla_cdc_log GROUP BY 1',
+    "operation_targets": f"""SELECT DISTINCT {KEY}, CASE WHEN "cdc$operation" = 4 THEN 'no partition/' || {_TEXT.format("pk")} ELSE CASE "cdc$operation" WHEN 1 THEN 'cells/' WHEN 2 THEN 'row/'
+        WHEN 3 THEN 'no row/' ELSE 'bound/' END || {_TEXT.format("pk")} || '/' || {_TEXT.format("c1")} || '/' || {_TEXT.format("c2")} END AS target FROM multi_ck_scylla_cdc_log""",
     "row_keys": "SELECT DISTINCT pk, c1, c2 FROM multi_ck_scylla_cdc_log",
     "base_rows": "SELECT pk, ck, v, s, delivery_batch FROM scalar_scylla_cdc_log",
     "cell_states": " UNION ALL ".join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,10 @@ def shared_folder(spark: SparkSession) -> str:
         configured = spark.conf.get("spark.checkpoint.dir", "")
         if not configured and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidelog-"))
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="tidelog-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
     return context._jsc.sc().getCheckpointDir().get()
 
 
