@@ -126,6 +126,20 @@ def test_as_known_agrees_with_brute_force(spark, most):
         asof.as_known(e, "who", "t", f.withColumnRenamed("x", "ID"), ["ID"])
 
 
+@pytest.mark.parametrize("most", [5, 40])
+def test_an_entity_with_many_facts_is_cut(spark, monkeypatch, most):
+    monkeypatch.setattr(asof, "SHARD_FACTS", most)
+    r = random.Random(most)
+    facts = [(r.choice("aaaaaaab"), r.randrange(200), r.randrange(200), i) for i in range(400)] + [("c", 3, 4, 1)]
+    events = [(r.choice("aaab"), r.randrange(-5, 220), i) for i in range(500)] + [("c", 9, 500), (None, 3, 501), ("a", None, 502)]
+    f = spark.createDataFrame(facts, "entity string, valid long, known long, x int")
+    e = spark.createDataFrame(events, "who string, t long, id int").repartition(4)
+    rows = asof.as_known(e, "who", "t", f, ["x"], max_facts=0).collect()
+    assert len(rows) == len(events)
+    for x in rows:
+        assert x.x == (None if x.t is None else brute_as_of(facts, x.who, x.t)), x
+
+
 def test_old_versions_of_the_tree_stay():
     t = asof.PersistentTree(np.array([0, 0, 0]), np.array([10, 20, 10]), np.array([1, 2, 3]))
     at = t.find(np.zeros(4, np.int64), np.array([0, 30, 30, 2]))

@@ -11,7 +11,9 @@ Trees are numpy arrays of nodes, and a batch of events descends together, one ar
 Two routes with the same result: facts counted at no more than ``max_facts`` are built into one tree that is sent to
 all executors, built once, and events aren't shuffled; above that, facts and events are shuffled by entity, each task builds
 the tree of one shard at a time and streams its events past it, and entities with over ``HOT_SHARE`` of the events are
-salted, with their facts repeated per salt.
+salted, with their facts repeated per salt. An entity with more facts than a shard should hold is cut into slices of time: a
+fact belongs to the slice in which it can first hold (the later of its valid and known time), an event to that of its time, and of all
+earlier slices one fact is carried in, the latest valid, as only that one can still hold.
 
 Nulls: events without time or entity, and events before any fact, get null attributes; facts without entity, valid or
 known time are no facts. Ties: of facts with equal entity, valid and known time the one greatest by its attributes
@@ -35,6 +37,8 @@ from tidelog.session import small_side, within
 MAX_FACTS = 50_000
 #: Facts of a shard, on average.
 SHARD_FACTS = 10_000
+#: Slices of an entity with many facts at most, and bounds of slices that are broadcast at most.
+MAX_SLICES, MOST_BOUNDS = 512, 5_000_000
 HOT_SHARE = 0.001
 #: Generation starts up to here are broadcast, two numbers each; more are joined by hash.
 MAX_STARTS = 1_000_000
@@ -197,24 +201,26 @@ def _sharded(
     events: DataFrame, entity: str, time: str, facts: DataFrame, attributes: Sequence[str], out: T.StructType
 ) -> DataFrame:
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(heavy_keys(events, entity, HOT_SHARE).select(F.col(entity).alias("hot_entity")))  # at most 1 / HOT_SHARE rows
-    e = events.select(F.struct(*[f"`{c}`" for c in events.columns]).alias("e"))
-    e = e.join(hot, F.col(f"e.`{entity}`") == F.col("hot_entity"), "left").select(
-        F.col(f"e.`{entity}`").alias("shard_entity"),
-        F.when(F.col("hot_entity").isNotNull(), F.pmod(F.xxhash64(f"e.`{time}`"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"),
-        F.lit(1).alias("kind"),
-        "e",
-    )
-    f = facts.select(F.struct("entity", "valid", "known", *attributes).alias("f"))
-    f = f.join(hot, F.col("f.entity") == F.col("hot_entity"), "left").select(
-        F.col("f.entity").alias("shard_entity"),
-        F.explode(F.when(F.col("hot_entity").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"),
-        F.lit(0).alias("kind"),
-        "f",
-    )
+    per = facts.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    n_facts, most = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    slices = min(MAX_SLICES, max(1, -(-most // SHARD_FACTS)))
+    cuts = _cuts(facts, per, slices)
+    hot = heavy_keys(events, entity, HOT_SHARE).select(F.col(entity).alias("hot_entity"))
+    hot = F.broadcast(hot)  # at most 1 / HOT_SHARE rows
+    # Where an entity's facts are cut into slices of time, its events are spread already.
+    salts = F.when(F.col("hot_entity").isNull(), F.lit(1)).when(F.col("bounds").isNull(), F.lit(SALTS)).otherwise(F.lit(max(1, SALTS // slices)))
+    e = events.select(F.struct(*[f"`{c}`" for c in events.columns]).alias("e"), F.col(f"`{entity}`").alias("shard_entity"), F.col(f"`{time}`").alias("at"))
+    e = _sliced(e, cuts).join(hot, F.col("shard_entity") == F.col("hot_entity"), "left")
+    e = e.select("shard_entity", "slice", F.pmod(F.xxhash64("at"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "e")
+    f = facts.select(F.struct("entity", "valid", "known", *attributes).alias("f"), F.col("entity").alias("shard_entity"), F.greatest("valid", "known").alias("at"))
+    f = _sliced(f, cuts)
+    if slices > 1:
+        f = f.unionByName(_carried(f, cuts, slices))
+    f = f.join(hot, F.col("shard_entity") == F.col("hot_entity"), "left")
+    f = f.select("shard_entity", "slice", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "f")
     both = f.unionByName(e, allowMissingColumns=True)
-    shards = max(16 * n, -(-facts.count() // SHARD_FACTS))
-    shard = F.pmod(F.xxhash64("shard_entity", "salt"), F.lit(shards)).alias("shard")
+    shards = max(16 * n, -(-2 * n_facts // SHARD_FACTS))
+    shard = F.pmod(F.xxhash64("shard_entity", "slice", "salt"), F.lit(shards)).alias("shard")
     both = both.select(shard, "kind", "e", "f").repartition(min(shards, 8 * n), "shard").sortWithinPartitions("shard", "kind")
     names = out.fieldNames()
 
@@ -241,6 +247,34 @@ def _sharded(
     return both.mapInArrow(stream, out)
 
 
+def _cuts(facts: DataFrame, per: DataFrame, slices: int) -> DataFrame:
+    """(cut_entity, bounds): of each entity with more than ``SHARD_FACTS`` facts, the times that cut these into about equal slices.
+    Any bounds give the same result; few entities have so many facts, and their bounds are broadcast if counted small."""
+    large = per.where(F.col("n") > (SHARD_FACTS if slices > 1 else 2**62)).select(F.col("entity").alias("cut_entity"))
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)] or [F.lit(0.5)])
+    seen = facts.join(large, F.col("entity") == F.col("cut_entity"), "left_semi")
+    bounds = seen.groupBy(F.col("entity").alias("cut_entity")).agg(F.percentile_approx(F.greatest("valid", "known"), shares, 10_000).alias("bounds"))
+    return small_side(bounds, MOST_BOUNDS // slices)
+
+
+def _sliced(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (shard_entity, at, ...) with ``bounds`` and ``slice``, how many of them ``at`` has passed."""
+    joined = rows.join(cuts, F.col("shard_entity") == F.col("cut_entity"), "left").drop("cut_entity")
+    passed = F.size(F.filter("bounds", lambda b: b <= F.col("at")))
+    return joined.withColumn("slice", F.when(F.col("bounds").isNull() | F.col("at").isNull(), 0).otherwise(passed))
+
+
+def _carried(f: DataFrame, cuts: DataFrame, slices: int) -> DataFrame:
+    """For each slice of a cut entity the one fact of all earlier slices that can still hold: the latest valid, then known."""
+    best = f.where("bounds is not null").groupBy("shard_entity", "slice").agg(F.max(F.struct("f.valid", "f.known", "f")).alias("b"))
+    every = cuts.select(F.col("cut_entity").alias("every_entity"), "bounds", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("every_slice"))
+    joined = every.join(best, (F.col("every_entity") == F.col("shard_entity")) & (F.col("every_slice") == F.col("slice")), "left")
+    # One row per slice.
+    before = Window.partitionBy("every_entity").orderBy("every_slice").rowsBetween(Window.unboundedPreceding, -1)
+    kept = joined.select("every_entity", "every_slice", "bounds", F.max("b").over(before).alias("b")).where("b is not null")
+    return kept.select("b.f", F.col("every_entity").alias("shard_entity"), F.greatest("b.f.valid", "b.f.known").alias("at"), "bounds", F.col("every_slice").alias("slice"))
+
+
 def _unpack(column: pa.ChunkedArray) -> pa.Table:
     return pa.Table.from_struct_array(column.combine_chunks())
 
