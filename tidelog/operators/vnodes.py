@@ -1,8 +1,9 @@
 """Assigning streams to the ranges of the token ring.
 
 A stream belongs to the smallest ring token not below its own; those above the last token and those up to the first go
-together in the wrap-around group. The ring is a few hundred tokens per node; it is broadcast when a count shows at most
-``MAX_RING``, and refused beyond.
+together in the wrap-around group. The ring is a few hundred tokens per node; up to ``MAX_RING`` tokens, counted, are sent to all
+tasks. A longer ring is merged with the streams: both are sorted together in slices of the token range, and a slice without
+a token above takes the first one of the slices after it.
 
 An empty ring gives no groups. A stream without a token belongs to no group; repeated rows count once.
 """
