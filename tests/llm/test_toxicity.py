@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import quopri
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,6 +118,65 @@ def test_background_is_bounded_and_plain(spark, small, model):
     assert len(toxicity.with_background(model, 0, []).ordinary) == len(model.ordinary)
 
 
+def parts_by_a_loop(scorer, texts):
+    """(ids, is a sentence) to the texts that have it, and its score, by the definition."""
+    def score(ids):
+        return scorer.model.best(np.array([*ids, 0]), np.array([0, len(ids) + 1]))[0]
+
+    n, scores = Counter(), {}
+    for t in texts:
+        found, sentence = set(), []
+        for i in [*scorer.ids(mail.readable(t)).tolist(), 0]:
+            if i and len(sentence) < toxicity.PIECE:
+                sentence.append(i)
+                continue
+            if any(x >= toxicity.RESERVED for x in sentence):
+                found.add((tuple(sentence), True))
+            sentence = [i] if i else []
+        for ids, _ in list(found):
+            if score(ids) >= toxicity.PLAIN:
+                found |= {(ids[i : i + toxicity.WINDOW], False) for i in range(max(1, len(ids) - toxicity.WINDOW + 1))}
+        n.update(found)
+        scores.update((p, score(p[0])) for p in found if p not in scores)
+    return {p: (k, scores[p]) for p, k in n.items()}
+
+
+def test_background_is_of_all_texts(spark, scorer, model):
+    """More texts than any sample that was once taken; each has a sentence that no other has."""
+    words = [w for w in model.words.words[model.words.first_word - toxicity.RESERVED :] if w.isascii() and w.isalpha() and w not in model.words.strong]
+    texts = [f"The {a} and {b} of the archive." for a in words[:80] for b in words[:40] if a != b]
+    texts = [t for t, s in zip(texts, scorer.scores(texts)) if s < toxicity.PLAIN]
+    assert len(texts) > 2_000
+    df = spark.createDataFrame([*enumerate([*texts, *texts[:500], None])], "k long, t string")
+    n, parts = toxicity.background(df, "k", "t", model)
+    sentences = {tuple(scorer.ids(t)[:-1].tolist()) for t in texts}
+    assert n == len(texts) and {p for p, *_ in parts} == sentences and len(parts) == len(sentences) == len(texts)
+    more = toxicity.background_counts(toxicity.read(df.repartition(5), "k", "t", model), model)
+    expected = Counter(x for s in sentences for x in zip((0, 0, *s), (0, *s, 0), (*s, 0)))
+    assert more == expected
+
+
+def test_counts_of_trigrams_are_those_of_the_parts(spark, small, scorer, model):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.text for r in docs.select("text").collect() if r.text is not None}
+    n, parts = toxicity.background(docs, "doc_id", "text", model)
+    loop = {p: x for p, x in parts_by_a_loop(scorer, texts).items() if toxicity._is_plain(len(texts), p[1], *x)}
+    assert n == len(texts) and {(p, sentence): (k, s) for p, sentence, k, s in parts} == loop
+    assert {sentence for _, sentence, *_ in parts} == {True, False}
+    rows = toxicity.with_background(model, n, parts)
+    counted = toxicity.with_counts(model, toxicity.background_counts(toxicity.read(docs.union(docs), "doc_id", "text", model), model))
+    assert counted.whole == rows.whole and (counted.one == rows.one).all() and (counted.base == rows.base).all()
+    for a, b in ((counted.two, rows.two), (counted.three, rows.three)):
+        assert all((getattr(a, x) == getattr(b, x)).all() for x in ("contexts", "left", "unseen", "keys", "mass"))
+
+
+def test_all_labelled_rows_train(spark):
+    rows = [(f"row {i}", "none") for i in range(20_100)]
+    df = spark.createDataFrame([*rows, (None, "none"), ("row", None)], "t string, c string")
+    assert sorted(toxicity.labelled_sample(df, "t", "c")) == sorted(rows)
+    assert len(toxicity.labelled_sample(df, "t", "c", max_labelled=30)) == 30
+
+
 def test_best_window_agrees_with_a_loop(model):
     r = np.random.default_rng(1)
     texts = [r.integers(0, 60, n) for n in (0, 1, 3, 7, 30, 200)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import packing, tokens, toxicity
 from tidelog.plans.tables import table
-from tidelog.session import spread
+from tidelog.session import shared_checkpoint, spread
 
 CAPACITY = 2048
 
@@ -31,8 +31,10 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = toxicity.labelled_sample(table(spark, sf_dir, "review_snippets"), "snippet", "category")
     model = toxicity.fit(labelled)
-    model = toxicity.with_background(model, *toxicity.background(table(spark, sf_dir, "documents"), "doc_id", "text", model))
-    return toxicity.scored(_documents(spark, sf_dir, "source"), "doc_id", "text", model, keep=["source"])
+    # Reading is most of the work, and is done once for the counts and the scores.
+    texts = shared_checkpoint(toxicity.read(_documents(spark, sf_dir, "source"), "doc_id", "text", model, keep=["source"]))
+    model = toxicity.with_counts(model, toxicity.background_counts(texts, model))
+    return toxicity.scored(texts, "doc_id", model, keep=["source"])
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,20 +10,21 @@ word. Every word of every text is scored. A short sentence that toxic training r
 Words are read through spelling tricks: unseen marks, look-alike letters, digits for letters, letters set apart,
 repeated, swapped or starred out. Only a word that no model knows is changed, and only into one that a model knows.
 
-The labelled rows are a sample of at most ``max_labelled`` (a parameter), and plain sentences of a sample of at most
-``BACKGROUND_TEXTS`` unlabelled texts join the ordinary ones; the models and all constants are then fixed, and behave alike at
-every size. Verdicts may be wrong: rows that models of the other rows contradict clearly are left out.
+All labelled rows train the models, and the plain sentences of all texts to be scored join the ordinary ones, as counts. Texts
+are read once: their words' ids, which depend on the labelled rows alone, serve both the counts and the scores. Verdicts may
+be wrong: rows that models of the other rows contradict clearly are left out.
 
 Null, empty and blank texts score 0 and aren't flagged.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -37,9 +38,8 @@ from tidelog.llm import seeds
 from tidelog.llm.mail import readable
 
 TOXIC_CATEGORIES = ("abusive", "hateful", "sexual")
-MAX_LABELLED = 20_000
-#: The background: texts sampled, distinct parts taken from them, words of one.
-BACKGROUND_TEXTS, BACKGROUND_PARTS, PIECE = 2_000, 50_000, 25
+#: The most words of a part of the background.
+PIECE = 25
 #: A sentence that scores below PLAIN, or what stands in this share of the texts and in so many, is ordinary.
 PLAIN, COMMON, COMMON_TEXTS = 0.5, 0.005, 8
 WINDOW, SHORTEST = 5, 4
@@ -155,9 +155,9 @@ class Words:
         return None
 
 
-def _counts(sentences: list[tuple[list[int], int]]) -> tuple[Counter, Counter, Counter]:
-    """Weighted trigram counts, and the distinct left contexts of bigrams and of words."""
-    three: Counter = Counter()
+def _counts(sentences: list[tuple[list[int], int]], more: Mapping[tuple[int, int, int], int]) -> tuple[Counter, Counter, Counter]:
+    """Weighted trigram counts, those of ``more`` included, and the distinct left contexts of bigrams and of words."""
+    three: Counter = Counter(more)
     for ids, weight in sentences:
         padded = [END, END, *ids, END]
         for a, b, c in zip(padded, padded[1:], padded[2:]):
@@ -234,14 +234,20 @@ class _Order:
 
 @dataclass
 class Model:
-    """Log-probabilities of both classes, every order by key: no larger than the labelled rows."""
+    """Log-probabilities of both classes, every order by key: as large as the distinct trigrams of known words."""
 
     words: Words
     toxic: list[tuple[list[int], int]]
     ordinary: list[tuple[list[int], int]]
+    #: Trigrams of ordinary text besides the rows.
+    more: Mapping[tuple[int, int, int], int] = field(default_factory=dict)
     ready: bool = field(default=False)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __getstate__(self) -> dict:
+        """Once prepared, a model is sent without what it was made of."""
+        return self.__dict__ | ({"toxic": [], "ordinary": [], "more": {}} if self.ready else {})
+
     def prepare(self) -> Model:
         if self.ready:
             return self
@@ -256,7 +262,7 @@ class Model:
         self.most = np.full(v, MOST_SAID)
         # Alone among neutral words, only a word that is abuse by itself may say enough for a whole window.
         self.most[[s[0] for s in self.whole if len(s) == 1]] = THRESHOLD * WINDOW
-        per = [_counts(self.toxic), _counts(self.ordinary)]
+        per = [_counts(self.toxic, {}), _counts(self.ordinary, self.more)]
         shared = Counter()
         for _, _, one in per:
             shared.update(one)
@@ -376,11 +382,24 @@ class Reader:
                 return
 
 
-def _sentence_ids(ids: np.ndarray) -> list[tuple[int, ...]]:
-    """The sentences of a text that have words, as tuples of ids; longer ones in pieces of ``PIECE`` words."""
-    cuts = [-1, *np.flatnonzero(ids == END).tolist(), len(ids)]
-    found = (ids[i : min(b, i + PIECE)] for a, b in zip(cuts, cuts[1:]) for i in range(a + 1, b, PIECE))
-    return [tuple(x.tolist()) for x in found if (x >= RESERVED).any()]
+def _joined(texts: Sequence[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Stored ids of texts, each closed by END, in one array, and where each text begins and the last ends."""
+    offsets = np.concatenate([[0], np.cumsum([len(t) // kind.itemsize for t in texts], dtype=np.int64)])
+    return np.frombuffer(b"".join(texts), dtype=kind).astype(np.int64), offsets
+
+
+def _cut(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and number of the text of each sentence that has words; longer ones in pieces of ``PIECE`` words."""
+    inside = np.concatenate([[False], ids != END, [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edge[::2], edge[1::2]
+    pieces = -((begin - end) // PIECE)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lo = np.repeat(begin, pieces) + PIECE * nth
+    hi = np.minimum(lo + PIECE, np.repeat(end, pieces))
+    words = np.concatenate([[0], np.cumsum(ids >= RESERVED)])
+    keep = words[hi] > words[lo]
+    return lo[keep], hi[keep], np.searchsorted(offsets, lo[keep], "right") - 1
 
 
 class Scorer:
@@ -399,13 +418,6 @@ class Scorer:
             offsets.append(offsets[-1] + len(ids) + 1)
         return self.model.best(np.concatenate(parts), np.array(offsets)) if parts else np.zeros(0)
 
-    def of_ids(self, sentences: Sequence[Sequence[int]]) -> np.ndarray:
-        """Scores of sentences that have been read already."""
-        if not sentences:
-            return np.zeros(0)
-        offsets = np.concatenate([[0], np.cumsum([len(s) + 1 for s in sentences])])
-        return self.model.best(np.fromiter(chain.from_iterable((*s, END) for s in sentences), dtype=np.int64), offsets)
-
 
 def _sentences(reader: Reader, rows: Iterable[tuple[str, int]]) -> list[tuple[list[int], int]]:
     out = []
@@ -451,7 +463,7 @@ def _names(texts: Iterable[str]) -> set[str]:
 def fit(labelled: Sequence[tuple[str, str]], folds: int = 5) -> Model:
     """A model of (text, category) rows and the seeds. Rows whose verdict models of the other folds contradict are left out.
 
-    It knows ordinary language from these rows only; ``with_background`` adds the archive's own.
+    It knows ordinary language from these rows only; ``with_counts`` adds the archive's own.
     """
     rows = sorted((t, c in TOXIC_CATEGORIES) for t, c in labelled if t and c in (*TOXIC_CATEGORIES, "none"))
     extra = [[(t, SEED_WEIGHT) for t in x] for x in (seeds.TOXIC, seeds.ORDINARY)]
@@ -470,54 +482,155 @@ def fit(labelled: Sequence[tuple[str, str]], folds: int = 5) -> Model:
     return model_of(kept)
 
 
-def labelled_sample(snippets: DataFrame, text: str, category: str, max_labelled: int = MAX_LABELLED) -> list[tuple[str, str]]:
-    """At most ``max_labelled`` labelled rows, chosen by a hash of the text."""
-    rows = snippets.select(text, category).dropna().orderBy(F.xxhash64(text), text).limit(max_labelled)
+def labelled_sample(snippets: DataFrame, text: str, category: str, max_labelled: int | None = None) -> list[tuple[str, str]]:
+    """All labelled rows; with ``max_labelled`` at most so many, chosen by a hash of the text."""
+    rows = snippets.select(text, category).dropna()
+    if max_labelled is not None:
+        rows = rows.orderBy(F.xxhash64(text), text).limit(max_labelled)
     return [tuple(r) for r in rows.collect()]
 
 
-def _pieces(scorer: Scorer, text: str) -> list[tuple[tuple[int, ...], bool, float]]:
-    """(ids, whether it's a sentence, score) of a text's sentences, and of the windows in those that don't look plain."""
-    sentences = sorted({*_sentence_ids(scorer.ids(readable(text)))})
-    scores = scorer.of_ids(sentences)
-    windows = sorted({s[i : i + WINDOW] for s, x in zip(sentences, scores, strict=True) if x >= PLAIN for i in range(max(1, len(s) - WINDOW + 1))})
-    parts = [(s, True, float(x)) for s, x in zip(sentences, scores, strict=True)]
-    return parts + [(w, False, float(x)) for w, x in zip(windows, scorer.of_ids(windows), strict=True)]
+def _kind(model: Model) -> np.dtype:
+    """The type in which ids are stored."""
+    return np.dtype(np.int16 if model.words.size <= np.iinfo(np.int16).max else np.int32)
+
+
+def read(df: DataFrame, key: str, text: str, model: Model, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, text_hash, ids) of every row: a hash that equal texts share (null for null), and the ids of the words, END last.
+
+    Ids depend on the model's words only, so they hold for every model made from ``model`` by a background.
+    """
+    rows = df.select(key, *keep, text)
+    names, kind = [key, *keep], _kind(model)
+    out = T.StructType([*[rows.schema[c] for c in names], T.StructField("text_hash", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+    sent = df.sparkSession.sparkContext.broadcast(model.prepare())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(sent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                texts = b.column(len(names)).to_pylist()
+                hashes = [None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+                ids = [np.append(scorer.ids(readable(t)), END).astype(kind).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], names=[*names, "text_hash", "ids"])
+
+    return rows.mapInArrow(run, out)
 
 
 def _is_plain(n_texts: int, sentence: bool, n: int, score: float) -> bool:
     return (sentence and score < PLAIN) or (n >= max(COMMON_TEXTS, COMMON * n_texts) and score < THRESHOLD + CONTRADICTED)
 
 
-Part = tuple[tuple[int, ...], bool, int, float]
+class _Parts:
+    """Counts, by texts that have them, of sentences and of the windows in those that don't look plain."""
 
+    def __init__(self, model: Model) -> None:
+        self.model, self.kind = model, _kind(model)
+        self.end = np.array([END], dtype=self.kind).tobytes()
+        #: Sentences met, with their scores and windows; windows with their scores.
+        self.sentences: dict[bytes, tuple[float, tuple[bytes, ...]]] = {}
+        self.windows: dict[bytes, float] = {}
+        self.n: Counter = Counter()
+
+    def _scores(self, parts: Sequence[bytes]) -> list[float]:
+        return self.model.best(*_joined([p + self.end for p in parts], self.kind)).tolist()
+
+    def add(self, texts: Sequence[bytes]) -> None:
+        ids, offsets = _joined(texts, self.kind)
+        size, raw = self.kind.itemsize, b"".join(texts)
+        found = {(t, raw[lo * size : hi * size]) for lo, hi, t in zip(*(x.tolist() for x in _cut(ids, offsets)), strict=True)}
+        new = list({s for _, s in found} - self.sentences.keys())
+        for s, score in zip(new, self._scores(new), strict=True):
+            last = max(1, len(s) // size - WINDOW + 1) if score >= PLAIN else 0
+            self.sentences[s] = score, tuple(s[i * size : (i + WINDOW) * size] for i in range(last))
+        within = {(t, w) for t, s in found for w in self.sentences[s][1]}
+        new = list({w for _, w in within} - self.windows.keys())
+        self.windows.update(zip(new, self._scores(new), strict=True))
+        self.n.update((s, True) for _, s in found)
+        self.n.update((w, False) for _, w in within)
+
+    def full(self) -> bool:
+        return len(self.sentences) + len(self.windows) > MOST_REMEMBERED
+
+    def taken(self) -> pa.RecordBatch:
+        """What was counted; begins anew."""
+        keys = list(self.n)
+        scores = [self.sentences[p][0] if sentence else self.windows[p] for p, sentence in keys]
+        columns = [pa.array([p for p, _ in keys], pa.binary()), pa.array([x for _, x in keys], pa.bool_()), pa.array(self.n.values(), pa.int64()), pa.array(scores, pa.float64())]
+        for x in (self.n, self.sentences, self.windows):
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["part", "sentence", "n", "score"])
+
+
+def _plain_parts(read_texts: DataFrame, model: Model) -> tuple[int, DataFrame]:
+    """The number of distinct texts of ``read``'s rows, and (part, sentence, n, score) of all their distinct parts that are ordinary."""
+    n_texts = read_texts.select(F.count_distinct("text_hash")).first()[0]
+    texts = read_texts.where("text_hash is not null").select("ids", "text_hash").distinct()
+    sent = read_texts.sparkSession.sparkContext.broadcast(model.prepare())
 
-def background(df: DataFrame, key: str, text: str, model: Model, most_texts: int = BACKGROUND_TEXTS, most_parts: int = BACKGROUND_PARTS) -> tuple[int, list[Part]]:
-    """The number of texts sampled, and (ids, is a sentence, texts that have it, score) of the distinct parts of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _Parts(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                parts.add(batch.column(0).slice(at, ROWS).to_pylist())
+                if parts.full():
+                    yield parts.taken()
+        yield parts.taken()
+
+    kinds = texts.mapInArrow(run, "part binary, sentence boolean, n long, score double").groupBy("part", "sentence").agg(F.sum("n").alias("n"), F.max("score").alias("score"))
+    common = (F.col("n") >= max(COMMON_TEXTS, COMMON * n_texts)) & (F.col("score") < THRESHOLD + CONTRADICTED)
+    return n_texts, kinds.where((F.col("sentence") & (F.col("score") < PLAIN)) | common)
+
+
+def background_counts(read_texts: DataFrame, model: Model) -> dict[tuple[int, int, int], int]:
+    """The trigrams in the ordinary parts of all of ``read``'s texts, with their counts.
 
-    Parts are sentences of up to ``PIECE`` words, and the windows in those that don't look plain. ``most_texts`` texts are chosen by a
-    hash of their key, equal texts count once, and at most ``most_parts`` parts come to the driver, chosen by a hash too. This
-    only trains the ordinary model.
+    Parts are sentences of up to ``PIECE`` words, and the windows in those that don't look plain; equal texts count once. Parts
+    stay on the executors; the driver gets the distinct trigrams, in which all words that the model doesn't know are one.
     """
-    # The keys alone are read first, and come to the driver; then the texts are read once.
-    keys = df.select(F.col(key).alias("chosen_key")).where("chosen_key is not null").orderBy(F.xxhash64("chosen_key"), "chosen_key").limit(most_texts)
-    rows = keys.collect()
-    chosen = F.broadcast(df.sparkSession.createDataFrame(rows, keys.schema))
-    texts = df.join(chosen, F.col(key) == F.col("chosen_key"), "left_semi").select(F.col(text).alias("t")).where("t is not null").distinct()
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    kind = _kind(model)
+    end = np.array([END], dtype=kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent)
         for batch in batches:
-            found = [p for t in batch.column(0).to_pylist() for p in _pieces(scorer, t)]
-            columns = [pa.array([list(p[0]) for p in found], pa.list_(pa.int32())), pa.array([p[1] for p in found], pa.bool_()), pa.array([p[2] for p in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["ids", "sentence", "score"])
+            c, _ = _joined([p + end for p in batch.column(0).to_pylist()], kind)
+            b = np.concatenate([[END], c[:-1]])[: len(c)]
+            a = np.where(b == END, END, np.concatenate([[END], b[:-1]])[: len(c)])
+            n = Counter(zip(a.tolist(), b.tolist(), c.tolist()))
+            columns = [pa.array(x, pa.int32()) for x in zip(*n)] if n else [pa.array([], pa.int32())] * 3
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.values(), pa.int64())], names=["a", "b", "c", "n"])
+
+    _, parts = _plain_parts(read_texts, model)
+    found = parts.select("part").mapInArrow(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(zip(*(found[x].to_pylist() for x in "abc")), found["n"].to_pylist(), strict=True))
+
 
-    kinds = texts.mapInArrow(run, "ids array<int>, sentence boolean, score double").groupBy("ids", "sentence").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
-    n_texts = len(rows)
-    plain = (F.col("sentence") & (F.col("score") < PLAIN)) | ((F.col("n") >= max(COMMON_TEXTS, COMMON * n_texts)) & (F.col("score") < THRESHOLD + CONTRADICTED))
-    rows = kinds.where(plain).orderBy(F.xxhash64("ids"), "ids", "sentence").limit(most_parts).collect()
-    return n_texts, [(tuple(r.ids), r.sentence, r.n, r.score) for r in rows]
+def with_counts(model: Model, more: Mapping[tuple[int, int, int], int]) -> Model:
+    """``model`` with the trigrams of ``background_counts`` as ordinary ones.
+
+    Abuse is rare, so what is common is ordinary. A whole sentence that the model takes for toxic is in no ordinary part.
+    """
+    return Model(model.words, model.toxic, model.ordinary, more).prepare()
+
+
+Part = tuple[tuple[int, ...], bool, int, float]
+
+
+def background(df: DataFrame, key: str, text: str, model: Model, most_texts: int | None = None, most_parts: int | None = None) -> tuple[int, list[Part]]:
+    """The number of distinct texts, and (ids, is a sentence, texts that have it, score) of their ordinary parts, one by one.
+
+    This brings the parts themselves to the driver, for a look at them; ``background_counts`` has what they add up to. ``most_texts``
+    and ``most_parts`` are bounds for that, by a hash of the key and of the part; without them it's all of them.
+    """
+    rows = df
+    if most_texts is not None:
+        rows = df.select(key, text).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most_texts)
+    n_texts, parts = _plain_parts(read(rows, key, text, model), model)
+    parts = parts.orderBy(F.xxhash64("part"), "part", "sentence")
+    kind = _kind(model)
+    found = (parts if most_parts is None else parts.limit(most_parts)).collect()
+    return n_texts, [(tuple(np.frombuffer(r.part, dtype=kind).tolist()), r.sentence, r.n, r.score) for r in found]
 
 
 def with_background(model: Model, n_texts: int, parts: Iterable[Part]) -> Model:
@@ -539,21 +652,19 @@ def _scorer(sent) -> Scorer:
     return _SCORERS[model.name]
 
 
-def scored(df: DataFrame, key: str, text: str, model: Model, threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
-    """(key, *keep, score, flagged) of every row; ``flagged`` where the score reaches ``threshold``."""
-    rows = df.select(key, *keep, text)
-    out = T.StructType([*[rows.schema[c] for c in (key, *keep)], T.StructField("score", T.DoubleType()), T.StructField("flagged", T.BooleanType())])
-    sent = df.sparkSession.sparkContext.broadcast(model.prepare())  # bounded by the labelled and the background sample
-    names = [key, *keep]
+def scored(read_texts: DataFrame, key: str, model: Model, threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, score, flagged) of every row of ``read``; ``flagged`` where the score reaches ``threshold``."""
+    names, kind = [key, *keep], _kind(model)
+    rows = read_texts.select(*names, "ids")
+    out = T.StructType([*[rows.schema[c] for c in names], T.StructField("score", T.DoubleType()), T.StructField("flagged", T.BooleanType())])
+    sent = rows.sparkSession.sparkContext.broadcast(model.prepare())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(sent)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
-                s = scorer.scores(b.column(len(names)).to_pylist())
-                columns = [*b.columns[:-1], pa.array(s), pa.array(s >= threshold)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "flagged"])
+                s = sent.value.best(*_joined(b.column(len(names)).to_pylist(), kind))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array(s >= threshold)], names=[*names, "score", "flagged"])
 
     return rows.mapInArrow(run, out)
 
