@@ -170,6 +170,37 @@ def test_counts_of_trigrams_are_those_of_the_parts(spark, small, scorer, model):
         assert all((getattr(a, x) == getattr(b, x)).all() for x in ("contexts", "left", "unseen", "keys", "mass"))
 
 
+def test_company_of_ordinary_text_says_nothing_for_toxic(model):
+    """However often ordinary text has had two numbers and ``the``: other words after two numbers say no more than before."""
+    toxic = {x for ids, _ in model.toxic for x in zip(ids, ids[1:])}
+    assert (toxicity.NUMBER, toxicity.NUMBER) not in toxic
+    words = np.setdiff1d(np.arange(toxicity.RESERVED, model.words.size), [model.words.ids["the"]])
+
+    def ratios(n):
+        m = toxicity.with_counts(model, {(toxicity.NUMBER, toxicity.NUMBER, model.words.ids["the"]): n})
+        seen = [w for (*k, w) in toxicity._counts(model.ordinary, {})[0] if k == [toxicity.NUMBER, toxicity.NUMBER]]
+        w = np.setdiff1d(words, seen)
+        p = m.probabilities(np.full(len(w), toxicity.NUMBER), np.full(len(w), toxicity.NUMBER), w)
+        return np.log(p[0]) - np.log(p[1])
+
+    assert ratios(100_000) == pytest.approx(ratios(1))
+
+
+def test_what_many_texts_have_counts_as_often(spark, scorer, model):
+    """Else the more sentences an archive has that one text each has, the less a common one would weigh."""
+    common, own = "The night shift roster is here.", [f"The server {w} answered." for w in ("in the cellar", "at night", "again")]
+    assert (scorer.scores([common, *own]) < toxicity.PLAIN).all()
+    df = spark.createDataFrame([(i, f"{common} {own[i % 3]} {i}") for i in range(60)] + [(99, f"{common} {own[0]} 0")], "k long, t string")
+    more = toxicity.background_counts(toxicity.read(df.repartition(3), "k", "t", model), model)
+    n, parts = toxicity.background(df, "k", "t", model)
+    assert n == 60 and {k for *_, k, _ in parts} == {60, 20}
+    expected = Counter()
+    for ids, _, texts, _ in parts:
+        for x in zip((0, 0, *ids), (0, *ids, 0), (*ids, 0)):
+            expected[x] += texts
+    assert more == expected and more[0, 0, model.words.ids["the"]] == 120
+
+
 def test_all_labelled_rows_train(spark):
     rows = [(f"row {i}", "none") for i in range(20_100)]
     df = spark.createDataFrame([*rows, (None, "none"), ("row", None)], "t string, c string")

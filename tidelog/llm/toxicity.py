@@ -181,8 +181,10 @@ class _Order:
     """One order of both models: for each context that a class has seen, the mass it leaves to the next lower order.
 
     That mass is Kneser-Ney's for the counts of both classes together, the same in both models. A class spreads the rest as its
-    own counts stand; a class that hasn't seen the context spreads it as the shared counts of single words. So each model's
-    probabilities after any context sum to 1, and a word that neither has seen after it gains nothing in either.
+    own counts stand. A class that hasn't seen the context spreads it otherwise: the ordinary one as the shared counts of single
+    words, the toxic one to the unknown word, which isn't scored. So each model's probabilities after any context sum to 1, and
+    what company only ordinary text has kept says nothing for toxic, however often it was met: a word that neither has seen
+    after it says what it says without it.
     """
 
     def __init__(self, per: Sequence[dict], v: int, base: np.ndarray, context_key) -> None:
@@ -192,6 +194,7 @@ class _Order:
         at = {int(k): i for i, k in enumerate(self.contexts)}
         self.left = np.ones(len(contexts) + 1)
         self.unseen = np.zeros((2, len(contexts) + 1))
+        self.spread = np.stack([np.arange(v) == UNKNOWN, base])
         keys: list[int] = []
         mass: list[list[float]] = []
         for c in contexts:
@@ -205,7 +208,7 @@ class _Order:
             sums = sum(a.values()), sum(b.values())
             for w in words:
                 keys.append(i * v + w)
-                mass.append([(1.0 - self.left[i]) * (x.get(w, 0.0) / n if n else base[w]) for x, n in zip((a, b), sums)])
+                mass.append([(1.0 - self.left[i]) * (x.get(w, 0.0) / n if n else spread[w]) for x, n, spread in zip((a, b), sums, self.spread)])
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
         self.keys = np.array(keys, dtype=np.int64)[order]
         self.mass = np.array(mass, dtype=np.float64).reshape(-1, 2)[order].T.copy()
@@ -219,16 +222,16 @@ class _Order:
         i = np.minimum(np.searchsorted(self.contexts, context), none - 1)
         return np.where(self.contexts[i] == context, i, none)
 
-    def over(self, lower: np.ndarray, at: np.ndarray, ids: np.ndarray, base: np.ndarray) -> np.ndarray:
+    def over(self, lower: np.ndarray, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """This order's probabilities (2, n) over the ``lower`` order's."""
-        out = lower * self.left[at] + self.unseen[:, at] * base[ids]
+        out = lower * self.left[at] + self.unseen[:, at] * self.spread[:, ids]
         if len(self.keys):
             key = at * self.v + ids
             i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = np.flatnonzero((self.keys[i] == key) & (at < len(self.contexts)))
             i = i[hit]
             # What a class without the context gives to a word is in its mass already.
-            out[:, hit] += self.mass[:, i] - self.unseen[:, at[hit]] * base[ids[hit]]
+            out[:, hit] += self.mass[:, i] - self.unseen[:, at[hit]] * self.spread[:, ids[hit]]
         return out
 
 
@@ -283,8 +286,8 @@ class Model:
 
     def probabilities(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         """(2, n): the chance of word ``c`` after words ``a b``, in the toxic and in the ordinary model."""
-        p = self.two.over(self.one[:, c], self.two.place(b), c, self.base)
-        return self.three.over(p, self.three.place(a * self.words.size + b), c, self.base)
+        p = self.two.over(self.one[:, c], self.two.place(b), c)
+        return self.three.over(p, self.three.place(a * self.words.size + b), c)
 
     def ratios(self, ids: np.ndarray, most: np.ndarray | float = MOST_SAID) -> np.ndarray:
         """Log-likelihood ratio of each word in its context, at most ``most``; sentences are set apart by END."""
@@ -586,7 +589,8 @@ def _plain_parts(read_texts: DataFrame, model: Model) -> tuple[int, DataFrame]:
 def background_counts(read_texts: DataFrame, model: Model) -> dict[tuple[int, int, int], int]:
     """The trigrams in the ordinary parts of all of ``read``'s texts, with their counts.
 
-    Parts are sentences of up to ``PIECE`` words, and the windows in those that don't look plain; equal texts count once. Parts
+    Parts are sentences of up to ``PIECE`` words, and the windows in those that don't look plain; equal texts count once. A part
+    counts as often as texts have it, or what is common would weigh less the more other parts an archive has. Parts
     stay on the executors; the driver gets the distinct trigrams, in which all words that the model doesn't know are one.
     """
     kind = _kind(model)
@@ -594,15 +598,17 @@ def background_counts(read_texts: DataFrame, model: Model) -> dict[tuple[int, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, _ = _joined([p + end for p in batch.column(0).to_pylist()], kind)
+            c, offsets = _joined([p + end for p in batch.column(0).to_pylist()], kind)
             b = np.concatenate([[END], c[:-1]])[: len(c)]
             a = np.where(b == END, END, np.concatenate([[END], b[:-1]])[: len(c)])
-            n = Counter(zip(a.tolist(), b.tolist(), c.tolist()))
-            columns = [pa.array(x, pa.int32()) for x in zip(*n)] if n else [pa.array([], pa.int32())] * 3
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.values(), pa.int64())], names=["a", "b", "c", "n"])
+            order = np.lexsort((c, b, a))
+            abc = np.stack((a, b, c))[:, order]
+            first = np.flatnonzero(np.append(True, (abc[:, 1:] != abc[:, :-1]).any(axis=0))[: len(c)])
+            n = np.add.reduceat(np.repeat(batch.column(1).to_numpy(), np.diff(offsets))[order], first)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[first], pa.int32()) for x in abc), pa.array(n, pa.int64())], names=["a", "b", "c", "n"])
 
     _, parts = _plain_parts(read_texts, model)
-    found = parts.select("part").mapInArrow(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toArrow()
+    found = parts.select("part", "n").mapInArrow(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(zip(*(found[x].to_pylist() for x in "abc")), found["n"].to_pylist(), strict=True))
 
 
@@ -635,8 +641,8 @@ def background(df: DataFrame, key: str, text: str, model: Model, most_texts: int
 
 def with_background(model: Model, n_texts: int, parts: Iterable[Part]) -> Model:
     """``model`` with ordinary parts of the archive's own texts: sentences that it scores below ``PLAIN``, and what more than
-    ``COMMON`` of all texts have unless it's toxic by far. Abuse is rare, so what is common is ordinary."""
-    plain = [(list(ids), 1) for ids, *kind in parts if _is_plain(n_texts, *kind)]
+    ``COMMON`` of all texts have unless it's toxic by far, each as often as texts have it. Abuse is rare, so what is common is ordinary."""
+    plain = [(list(ids), n) for ids, sentence, n, score in parts if _is_plain(n_texts, sentence, n, score)]
     return Model(model.words, model.toxic, [*model.ordinary, *plain]).prepare()
 
 
